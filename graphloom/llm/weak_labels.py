@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import linear
-from graphloom.llm.common import Words
+from graphloom.llm.common import Words, windows
 from graphloom.llm.quality import blank
 
 SAMPLE = 4_000
 KEEP = 0.5
-LABELLERS = ("letters", "signs", "repeats", "variety", "word_length", "capitals", "lines", "bars", "length")
+LABELLERS = ("letters", "signs", "repeats", "variety", "word_length", "capitals", "lines", "bars", "length", "dominance", "pairs")
 RESULT = "doc_id long, posterior double, score double, keep boolean"
 
 
@@ -48,45 +48,49 @@ def votes(column: pa.Array) -> np.ndarray:
     if len(h) > 1:
         again[1:] = (h[1:] == h[:-1]) & (rows[1:] == rows[:-1])
     repeats = np.bincount(rows[again], minlength=n_rows) / n
-    if len(h):
-        order = np.lexsort((h, rows))
-        new = np.r_[True, (h[order][1:] != h[order][:-1]) | (rows[order][1:] != rows[order][:-1])]
-        distinct = np.bincount(rows[order][new], minlength=n_rows)
-    else:
-        distinct = np.zeros(n_rows, int)
+
+    def distinct_of(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes of each row, and how often its most frequent one stands there."""
+        if not len(hashes):
+            return np.zeros(n_rows, int), np.zeros(n_rows, int)
+        order = np.lexsort((hashes, row))
+        x, r = hashes[order], row[order]
+        begin = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (r[1:] != r[:-1])])
+        most = np.zeros(n_rows, int)
+        np.maximum.at(most, r[begin], np.diff(np.r_[begin, len(x)]))
+        return np.bincount(r[begin], minlength=n_rows), most
+
+    distinct, most = distinct_of(h, rows)
+    inside = rows[:-1] == rows[1:]
+    pairs = distinct_of(windows(h, 2)[inside], rows[:-1][inside])[0] / np.maximum(1, words.count - 1)
     # distinct words grow slower than words: about as the power 0.8 of their number
     variety = distinct / n**0.8
     mean = (words.end - words.start).astype(float)
     word_length = np.bincount(rows, mean, n_rows) / n
     line_ends = np.flatnonzero(data == 10)
-    starts = np.unique(np.r_[offsets[:-1][size > 0], line_ends[line_ends + 1 < len(data)] + 1]) if len(data) else np.zeros(0, np.int64)
+    starts = np.unique(np.r_[offsets[:-1][size > 0], line_ends[line_ends + 1 < len(data)] + 1])
     line_row = np.searchsorted(offsets, starts, "right") - 1
-    first_word = np.minimum(np.searchsorted(words.start, starts), max(0, len(h) - 1))
+    at_word = np.r_[np.searchsorted(words.start, starts), len(h)]
     sums = np.r_[np.uint64(0), np.cumsum(h, dtype=np.uint64)]
-    ends_word = np.r_[np.searchsorted(words.start, starts)[1:], len(h)] if len(starts) else np.zeros(0, np.int64)
-    line_hash = sums[ends_word] - sums[np.searchsorted(words.start, starts)] if len(starts) else np.zeros(0, np.uint64)
-    order = np.lexsort((line_hash, line_row))
-    if len(starts):
-        new = np.r_[True, (line_hash[order][1:] != line_hash[order][:-1]) | (line_row[order][1:] != line_row[order][:-1])]
-        lines = np.bincount(line_row, minlength=n_rows)
-        dup = 1 - np.bincount(line_row[order][new], minlength=n_rows) / np.maximum(lines, 1)
-    else:
-        dup = np.zeros(n_rows)
-    del first_word
+    lines = np.bincount(line_row, minlength=n_rows)
+    dup = 1 - distinct_of(sums[at_word[1:]] - sums[at_word[:-1]], line_row)[0] / np.maximum(lines, 1)
+    some = words.count >= 20
     out = np.zeros((n_rows, len(LABELLERS)), np.int8)
 
     def vote(k: int, good: np.ndarray, bad: np.ndarray) -> None:
         out[:, k] = np.where(bad, -1, np.where(good, 1, 0))
 
-    vote(0, letters > 0.78, letters < 0.7)
-    vote(1, signs < 0.04, signs > 0.08)
+    vote(0, letters > 0.78, some & (letters < 0.65))
+    vote(1, signs < 0.04, some & (signs > 0.08))
     vote(2, repeats < 0.02, repeats > 0.1)
     vote(3, variety > 1.2, variety < 0.6)
     vote(4, (word_length > 3.5) & (word_length < 7), (word_length < 2.5) | (word_length > 8.5))
-    vote(5, capitals < 0.05, capitals > 0.2)
+    vote(5, capitals < 0.05, some & (capitals > 0.2))
     vote(6, dup < 0.05, dup > 0.3)
     vote(7, bars < 0.002, bars > 0.03)
-    vote(8, words.count >= 50, words.count < 5)
+    vote(8, words.count >= 50, words.count < 3)
+    vote(9, some & (most < 0.12 * n), some & (most > 0.25 * n))
+    vote(10, some & (pairs > 0.8), some & (pairs < 0.5))
     out[size == 0] = -1
     return out
 
@@ -101,21 +105,22 @@ def uncode(c: np.ndarray, k: int = len(LABELLERS)) -> np.ndarray:
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of good for each vote pattern, rates[class, labeller, vote + 1] and the share of
-    good documents. It starts from the majority of votes, which also says which class is good."""
+    """Posterior of good for each vote pattern, rates[class, labeller, vote is good] and the share
+    of good documents. No vote says nothing about the class, so short texts aren't held against
+    themselves. It starts from the majority of votes, which also says which class is good."""
     total = patterns.sum(1)
     post = np.clip(0.5 + total / (2.0 * np.maximum(1, np.abs(patterns).sum(1))), 0.05, 0.95)
     counts = counts.astype(float)
     n = counts.sum()
-    rates, prior = np.zeros((2, patterns.shape[1], 3)), 0.5
+    rates, prior = np.zeros((2, patterns.shape[1], 2)), 0.5
     for _ in range(rounds):
         for c, w in ((1, counts * post), (0, counts * (1 - post))):
-            for vote in (-1, 0, 1):
-                rates[c, :, vote + 1] = ((patterns == vote) * w[:, None]).sum(0) + smooth
+            for k, vote in enumerate((-1, 1)):
+                rates[c, :, k] = ((patterns == vote) * w[:, None]).sum(0) + smooth
             rates[c] /= rates[c].sum(1, keepdims=True)
         prior = ((counts * post).sum() + smooth) / (n + 2 * smooth)
         which = np.arange(patterns.shape[1])
-        log = [np.log(rates[c, which, patterns + 1]).sum(1) for c in (0, 1)]
+        log = [np.where(patterns != 0, np.log(rates[c, which, (patterns > 0).astype(int)]), 0.0).sum(1) for c in (0, 1)]
         z = log[1] - log[0] + np.log(prior / (1 - prior))
         now = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if len(now) and np.abs(now - post).max() < 1e-9:
