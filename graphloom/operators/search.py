@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.identity import glob_like
@@ -13,10 +13,12 @@ TOKEN = r"[\p{L}\p{N}]+"
 
 
 def postings(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, term, tf, size): the inverted index, one row a document and term."""
+    """(key, term, tf, size): the inverted index, one row a document and term. The size is summed from
+    the counts, for a text that was cut into terms twice would be cut anew for each term."""
     text = F.lower(F.concat_ws(" ", *[F.col(c) for c in columns]))
-    terms = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
-    return docs.select(F.col(key), F.size(terms).alias("size"), F.explode(terms).alias("term")).groupBy(key, "term", "size").agg(F.count("*").alias("tf"))
+    terms = docs.select(key, F.explode(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))).alias("term"))
+    counts = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return counts.withColumn("size", F.sum("tf").over(Window.partitionBy(key)))
 
 
 def match(index: DataFrame, key: str, query: str) -> DataFrame:
