@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import decontaminate, mixing, near_dedup, token_output, toxicity
-from graphloom.llm.common import UID, scratch, stable, table, with_uid
+from graphloom.llm.common import UID, stable, table, with_uid
+from graphloom.storage import scratch
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,13 +6,13 @@ for the bulk of the text. All hashes are computed modulo 2**64 and finished with
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.storage import scratch, shared_dir
+
 UID = "__gl_uid"
 SEGMENT = 1 << 18
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -23,27 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that every executor can reach: spark.checkpoint.dir, or, where it is unset on a
-    single machine, a fresh temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if where is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="graphloom-")
-        sc.setCheckpointDir(where)
-    return sc.getCheckpointDir()
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path for a written table inside the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 _MOVING = ("Join", "Aggregate", "Repartition", "Sort", "Window", "Sample", "Limit", "Distinct", "Deduplicate")
 
 
@@ -68,9 +47,11 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 1) -> int:
-    """A power of two that grows with the input, so that each bucket stays of one size."""
-    want = max(least, input_bytes(df) // bytes_each)
-    return 1 << min(30, max(0, int(want - 1).bit_length()))
+    """A power of two, at most 2**24, that grows with the input, so that each bucket stays of one
+    size. Where the size isn't known, as of local rows, the session's shuffle partitions decide."""
+    size = input_bytes(df)
+    want = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if size >= 1 << 60 else size // bytes_each
+    return 1 << min(24, max(0, int(max(least, want) - 1).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import UID, Words, buckets_for, mix, scratch, stable, windows, with_uid
+from graphloom.llm.common import UID, Words, buckets_for, mix, stable, windows, with_uid
+from graphloom.storage import scratch
 
 SHINGLE = 3
 SYMBOLS = 64

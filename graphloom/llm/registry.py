@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import decontaminate, line_dedup, mixing, near_dedup, quality, substring_dedup, token_counts, token_output, toxicity, weak_labels
-from graphloom.llm.common import scratch, table
+from graphloom.llm.common import table
+from graphloom.storage import scratch
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import UID, Words, buckets_for, row_windows, scratch, stable, with_uid
+from graphloom.llm.common import UID, Words, buckets_for, row_windows, stable, with_uid
+from graphloom.storage import scratch
 
 BLOCK = 25
 LEAST = 2 * BLOCK
