@@ -35,6 +35,13 @@ def query(sql: str | None = None, ctes: tuple = ()):
     return add
 
 
+@query("SELECT 'nodes' AS part, count(*) AS n, count(DISTINCT id) AS ids FROM nodes UNION ALL SELECT 'edges', count(*), count(DISTINCT eid) FROM edges", ("nodes", "edges"))
+def index_graph(s, d):
+    """Builds the fact tables, unless the session has them, and counts them."""
+    n, e = X.nodes(s, d), X.edges(s, d)
+    return n.agg(F.lit("nodes").alias("part"), F.count("*").alias("n"), F.countDistinct("id").alias("ids")).unionByName(e.agg(F.lit("edges").alias("part"), F.count("*").alias("n"), F.countDistinct("eid").alias("ids")))
+
+
 # graph scans, filters and counts
 
 @query("SELECT kind, count(*) AS n FROM nodes GROUP BY kind", ("nodes",))

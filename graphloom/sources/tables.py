@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.storage import scratch
+
 NODES_SQL = """
 SELECT 'star::MAIN::' || q AS id, q AS symbol_id, label, kind, CASE WHEN kind IN ('METHOD') THEN split_part(q, '(', 1) ELSE q END AS qualified_name,
   package, file AS source_file, loc AS source_location, 'star' AS module, 'MAIN' AS scope, doc AS javadoc, meta AS metadata
@@ -96,24 +98,52 @@ def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{t: load(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql})
 
 
+_STATEMENTS = {"nodes": NODES_SQL, "edges": EDGES_SQL, "annotations": ANNOTATIONS_SQL, "flow_nodes": FLOW_NODES_SQL, "flow_edges": FLOW_EDGES_SQL}
+_indexed: dict[tuple[str, str, str], str] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A fact table, built once for a session and folder and kept in the shared folder. Nodes and
+    edges lie sorted by id and source, edges apart by relation, so that a scan for some relations or
+    sources reads little else."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _indexed.get(key)
+    if path is None or not _complete(spark, path):
+        path = scratch(spark, name)
+        df = _run(spark, sf_dir, _STATEMENTS[name])
+        if name == "edges":
+            df.repartition("relation", "source_id").sortWithinPartitions("relation", "source_id").write.partitionBy("relation").parquet(path)
+        elif name == "nodes":
+            df.repartition("id").sortWithinPartitions("id").write.parquet(path)
+        else:
+            df.write.parquet(path)
+        _indexed[key] = path
+    return spark.read.parquet(path)
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, NODES_SQL)
+    return indexed(spark, sf_dir, "nodes")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, EDGES_SQL)
+    return indexed(spark, sf_dir, "edges")
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, ANNOTATIONS_SQL)
+    return indexed(spark, sf_dir, "annotations")
 
 
 def flow_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, FLOW_NODES_SQL)
+    return indexed(spark, sf_dir, "flow_nodes")
 
 
 def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, FLOW_EDGES_SQL)
+    return indexed(spark, sf_dir, "flow_edges")
 
 
 def oracle_with(*names: str) -> str:
