@@ -95,3 +95,32 @@ def worth_increment(files: int, total: int, per_file: float | None = None, full:
     if per_file is not None and full is not None:
         return files * per_file <= 0.7 * full
     return files <= max(200, total // 5)
+
+
+def readiness(version: int | None, wanted: int, nodes: int, stale: bool, dimensions: dict[str, str]) -> dict:
+    """Whether a graph may be relied on: blockers call for repair, partial dimensions degrade it."""
+    blockers = []
+    if version is None:
+        blockers.append("INDEX_MISSING")
+    elif version != wanted:
+        blockers.append("SCHEMA_MISMATCH")
+    elif nodes == 0:
+        blockers.append("INDEX_EMPTY")
+    if stale:
+        blockers.append("INDEX_STALE")
+    blockers += [code for key, code in (("parse", "PARSE_INCOMPLETE"), ("graph", "GRAPH_INTEGRITY_FAILED"), ("index", "INDEX_INTEGRITY_FAILED")) if dimensions.get(key) == "failed"]
+    partial = sorted(k for k, v in dimensions.items() if v == "partial")
+    return {"status": "REPAIR_REQUIRED" if blockers else "DEGRADED" if partial else "READY", "blockers": blockers, "partial": partial}
+
+
+#: which states of freshness may follow which
+FRESHNESS = {
+    "IDLE": {"INCREMENTAL", "REBUILDING", "STALE"}, "INCREMENTAL": {"IDLE", "FAILED", "STALE", "REBUILDING"}, "REBUILDING": {"IDLE", "FAILED"},
+    "STALE": {"INCREMENTAL", "REBUILDING"}, "FAILED": {"INCREMENTAL", "REBUILDING", "STALE"},
+}
+
+
+def freshness(now: str, then: str) -> str:
+    if then not in FRESHNESS[now]:
+        raise ValueError(f"{now} is not followed by {then}")
+    return then

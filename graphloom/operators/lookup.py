@@ -163,3 +163,16 @@ def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
 
 def by_label_glob(nodes: DataFrame, pattern: str) -> DataFrame:
     return nodes.where(F.col("label").ilike(glob_like(pattern)))
+
+
+def branch_keyword(slices: DataFrame, edges: DataFrame, word: str) -> DataFrame:
+    """Branch slices that hold word in their owner or context, or in one of their edges."""
+    k = word.lower()
+    own = F.lower("source_id").contains(k) | F.lower("context").contains(k)
+    inner = edges.where(F.lower(F.coalesce("target_id", "external_target_fqn")).contains(k) | F.coalesce(F.lower("source_file").contains(k), F.lit(False))).select("source_id", "context").distinct().withColumn("__hit", F.lit(True))
+    return slices.join(inner, ["source_id", "context"], "left").where(own | F.coalesce("__hit", F.lit(False))).drop("__hit")
+
+
+def put_meta(meta: DataFrame, new: DataFrame) -> DataFrame:
+    """Key / value rows with those of new in place of the old ones."""
+    return meta.join(new.select("key"), "key", "left_anti").select("key", "value").unionByName(new.select("key", "value"))

@@ -235,3 +235,50 @@ def _ends(flow_nodes: DataFrame, own: DataFrame) -> DataFrame:
     s = flow_nodes.select(F.col("id").alias("source_node"), F.col("kind").alias("source_kind"), F.col("line").alias("source_line"))
     t = flow_nodes.select(F.col("id").alias("target_node"), F.col("kind").alias("target_kind"), F.col("line").alias("target_line"))
     return own.join(s, "source_node").join(t, "target_node").select("method_id", "relation", "source_node", "source_kind", "source_line", "target_node", "target_kind", "target_line")
+
+
+def callers_frontier(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
+    """(frontier_count): callers, and methods overridden that weren't met, beyond the depth."""
+    known = callers(edges, seeds, depth)
+    met = known.select(F.col("source_id").alias("id")).unionByName(known.select(F.col("target_id").alias("id"))).unionByName(seeds.select("id")).distinct()
+    last = known.where((F.col("relation") == "CALLS") & (F.col("depth") == depth_of(depth))).select(F.col("source_id").alias("id")).distinct()
+    earlier = known.where(F.col("depth") < depth_of(depth)).select(F.col("source_id").alias("id")).unionByName(seeds.select("id")).distinct()
+    last = cut(last.join(earlier, "id", "left_anti"))
+    calls = _calls(edges).where("target_id is not null")
+    fresh = _overrides(edges).join(last.withColumnRenamed("id", "impl"), "impl", "left_semi").select(F.col("iface").alias("id")).distinct().join(met, "id", "left_anti")
+    into = calls.join(last.unionByName(fresh).distinct().withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(F.col("source_id").alias("id"))
+    return into.unionByName(fresh).agg(F.countDistinct("id").alias("frontier_count"))
+
+
+def flow_frontier(flow_edges: DataFrame, reached: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
+    """(frontier_count): nodes first reached at depth (rows of flow_of) that have edges not met."""
+    a, b = ("target_node", "source_node") if reverse else ("source_node", "target_node")
+    last = reached.where(F.col("depth") == depth).select(F.col(b).alias("id")).distinct().join(reached.select(F.col(a).alias("id")).distinct(), "id", "left_anti")
+    more = flow_edges.join(last.withColumnRenamed("id", a), a, "left_semi").join(reached.select("id"), "id", "left_anti")
+    return more.agg(F.countDistinct(a).alias("frontier_count"))
+
+
+def flow_endpoint(methods: DataFrame, coverage: DataFrame, slot: str | None = None, need_slot: bool = False) -> str:
+    """The only method of an endpoint (method_id), whose flow must be there in full (method_id,
+    detail_level). Errors carry codes."""
+    found = [r.method_id for r in methods.select("method_id").distinct().limit(2).collect()]
+    if len(found) > 1:
+        raise ValueError("FLOW_ENDPOINT_AMBIGUOUS: more than one method")
+    if not found:
+        raise LookupError("FLOW_ENDPOINT_UNKNOWN: no such method")
+    if need_slot and slot is None:
+        raise ValueError("FLOW_SLOT_REQUIRED: name a slot of the endpoint")
+    if coverage.where((F.col("method_id") == found[0]) & (F.col("detail_level") == "DETAIL")).isEmpty():
+        raise ValueError("FLOW_COVERAGE_MISSING: the method's flow isn't built in detail")
+    return found[0]
+
+
+def flow_summary(summaries: DataFrame, method: str, limit: int = 200) -> DataFrame:
+    return summaries.where(F.col("method_id") == method).orderBy("input_slot", "output_slot", "relation").limit(limit)
+
+
+def files_to_materialize(path: DataFrame, nodes: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(source_file) of the methods on a call path whose flow isn't there in detail."""
+    ids = path.select(F.col("source_id").alias("id")).unionByName(path.select(F.col("target_id").alias("id"))).distinct()
+    done = coverage.where("detail_level = 'DETAIL'").select(F.col("method_id").alias("id"))
+    return nodes.join(ids.join(done, "id", "left_anti"), "id", "left_semi").select("source_file").distinct()

@@ -239,3 +239,20 @@ def test_output(spark):
 def test_schema_version():
     with pytest.raises(ValueError):
         check_version(11)
+
+
+def test_readiness():
+    assert V.readiness(12, 12, 5, False, {"parse": "complete"})["status"] == "READY"
+    assert V.readiness(12, 12, 5, False, {"resolution": "partial"})["status"] == "DEGRADED"
+    assert V.readiness(None, 12, 0, True, {"graph": "failed"})["blockers"] == ["INDEX_MISSING", "INDEX_STALE", "GRAPH_INTEGRITY_FAILED"]
+    assert V.readiness(11, 12, 5, False, {})["blockers"] == ["SCHEMA_MISMATCH"] and V.freshness("IDLE", "REBUILDING") == "REBUILDING"
+    with pytest.raises(ValueError):
+        V.freshness("REBUILDING", "INCREMENTAL")
+
+
+def test_meta_and_branch_words(spark):
+    m = lambda *r: spark.createDataFrame(list(r), "key string, value string")
+    assert sorted(map(tuple, L.put_meta(m(("a", "1"), ("b", "2")), m(("b", "3"), ("c", None))).collect())) == [("a", "1"), ("b", "3"), ("c", None)]
+    e = spark.createDataFrame([("m", "if-then@L1", "Target", None, "f.src"), ("n", "case@L2", None, "x.Y", None)], "source_id string, context string, target_id string, external_target_fqn string, source_file string")
+    s = e.select("source_id", "context")
+    assert names(L.branch_keyword(s, e, "targ"), "source_id") == ["m"] and names(L.branch_keyword(s, e, "CASE"), "source_id") == ["n"] and names(L.branch_keyword(s, e, "f.src"), "source_id") == ["m"]

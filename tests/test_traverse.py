@@ -87,3 +87,19 @@ def test_flow_limit_stops(spark):
     got = T.flow_of(e, ids(spark, "n0"), 8, 3).collect()
     assert sorted((r.id, r.depth) for r in got) == [("e0", 1), ("e1", 2), ("e2", 3)]
     assert T.flow_of(e, ids(spark, "n5"), 2, 9, reverse=True).agg(F.max("depth")).first()[0] == 2
+
+
+def test_frontiers_and_endpoints(spark, chain):
+    assert [T.callers_frontier(chain, ids(spark, "L"), d).first()[0] for d in (1, 2, 3)] == [2, 2, 0]
+    e = spark.createDataFrame([(f"e{i}", f"n{i}", f"n{i + 1}", "DEF_USE") for i in range(5)], "id string, source_node string, target_node string, relation string")
+    assert T.flow_frontier(e, T.flow_of(e, ids(spark, "n0"), 2), 2).first()[0] == 1
+    assert T.flow_frontier(e, T.flow_of(e, ids(spark, "n0"), 5), 5).first()[0] == 0
+    cov = spark.createDataFrame([("m", "DETAIL"), ("k", "SUMMARY")], "method_id string, detail_level string")
+    of = lambda *n: spark.createDataFrame([(x,) for x in n], "method_id string")
+    assert T.flow_endpoint(of("m"), cov) == "m"
+    for bad in (of("m", "k"), of("k")):
+        with pytest.raises(ValueError):
+            T.flow_endpoint(bad, cov)
+    path = spark.createDataFrame([("m", "k")], "source_id string, target_id string")
+    nodes = spark.createDataFrame([("m", "m.src"), ("k", "k.src")], "id string, source_file string")
+    assert [r.source_file for r in T.files_to_materialize(path, nodes, cov).collect()] == ["k.src"]
