@@ -14,7 +14,7 @@ import numpy as np
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 _UNSAFE = re.compile(r" \s|\s ")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -46,7 +46,6 @@ class Tokenizer:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.ranks = ranks
         self.encoding = tiktoken.Encoding("graphloom", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.encode = self.encoding.encode_ordinary
         self._count, self._ids = _Counts(self.encode), _Ids(self.encode)
