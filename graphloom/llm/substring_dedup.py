@@ -4,7 +4,7 @@ Every document is cut into non-overlapping blocks of BLOCK words, which are the
 every rolling window of BLOCK words of every document probes it. A passage of at least 2 * BLOCK - 1
 words that two rows share holds a whole block of either, so it is always met. For each hash that
 some row has as a block and another row as a window, all rows with it are paired with the first of
-them, and each pair's hits are extended word by word, over the texts themselves, to maximal exact
+them and with the one before, and each pair's hits are extended word by word, over the texts themselves, to maximal exact
 repeats.
 
 Hashes travel as packed arrays, five bytes a window within a bucket chosen by the hash's top bits;
@@ -71,18 +71,22 @@ def _unpack(keys: bytes, flags: bytes, rows: bytes, counts: bytes) -> tuple[np.n
 
 def _meet(group: pa.Table) -> pa.Table:
     """(ref, row, keys) of a bucket: for each row the packed keys that it shares with the first row
-    that has them; rows are paired with themselves where they are first."""
+    that has them, and with the last one before it."""
     parts = [_unpack(*x) for x in zip(*(group.column(c).to_pylist() for c in ("keys", "flags", "rows", "counts")))]
     bucket = group.column("bucket")[0].as_py()
     key, block, row = (np.concatenate(x) for x in zip(*parts))
     del parts
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((row, key))
     key, block, row = key[order], block[order], row[order]
     begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[begin, len(key)])
     first, last = np.minimum.reduceat(row, begin), np.maximum.reduceat(row, begin)
     good = np.repeat((size > 1) & (first != last) & np.logical_or.reduceat(block, begin), size)
-    key, row, ref = key[good], row[good], np.repeat(first, size)[good]
+    # the row before in the same set, and the first one for repeats of a window within a row
+    before = np.r_[row[:1], row[:-1]]
+    ref = np.repeat(first, size)
+    near = good & (before != row) & (before != ref) & np.r_[False, key[1:] == key[:-1]]
+    key, row, ref = np.r_[key[good], key[near]], np.r_[row[good], row[near]], np.r_[ref[good], before[near]]
     order = np.lexsort((key, row, ref))
     key, row, ref = key[order], row[order], ref[order]
     new = np.r_[True, (row[1:] != row[:-1]) | (ref[1:] != ref[:-1])] if len(key) else np.zeros(0, bool)
@@ -161,9 +165,9 @@ def repeated_passages(docs: DataFrame, block: int = BLOCK, least: int = LEAST) -
     words (2 * block - 1 at the least) that a row shares with an earlier one; positions count words
     from 0. Words are what white space separates, compared byte for byte.
 
-    A row is compared with the first row, in the table's order, that has one of its shared window
-    hashes, so a passage of n rows gives about n results, not n squared. Repeats within one row are
-    not reported. Null and empty texts and those of fewer than block words give nothing. Repeated
+    For each of its shared window hashes, a row is compared with the first row, in the table's order,
+    that has it, and with the one just before it, so a passage of n rows gives at most about 2 n
+    results, not n squared. Repeats within one row are not reported. Null and empty texts and those of fewer than block words give nothing. Repeated
     rows repeat the first of them whole. Null doc_ids stay null. An empty table gives no rows.
     Whole texts are read; other columns are not.
     """
