@@ -1,13 +1,12 @@
-"""Exact repeated passages across documents, by fixed-block anchors.
+"""Exact repeated passages across documents, by rolling windows of the least reported length.
 
-Every document is cut into non-overlapping blocks of BLOCK words, which are the index; the hash of
-every rolling window of BLOCK words of every document probes it. A passage of at least 2 * BLOCK - 1
-words that two rows share holds a whole block of either, so it is always met. For each hash that
-some row has as a block and another row as a window, all rows with it are paired with the first of
-them and with the one before, and each pair's hits are extended word by word, over the texts themselves, to maximal exact
-repeats.
+The hash of every window of LEAST words of every document is grouped. A passage of at least LEAST
+words that two rows share holds such a window of both, so it is always met, wherever it lies. For
+each hash, all rows with it are paired with the first of them and with the one before, and each
+pair's texts are compared word by word for all their maximal exact repeats. So each window that an
+earlier row has lies in a repeat that is reported, and so does that window of the first row.
 
-Hashes travel as packed arrays, five bytes a window within a bucket chosen by the hash's top bits;
+Hashes travel as packed arrays, six bytes a window within a bucket chosen by the hash's top bits;
 the number of buckets grows with the input, and with it the bits in use. A false meeting is
 discarded when the texts are compared.
 """
@@ -24,40 +23,37 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import UID, Words, buckets_for, row_windows, stable, with_uid
 from graphloom.storage import scratch
 
-BLOCK = 25
-LEAST = 2 * BLOCK
-KEY_BYTES = 5
+LEAST = 50
+KEY_BYTES = 6
 RESULT = "doc_id long, start long, words long, ref_doc_id long, ref_start long"
 
 
-def _pack(column: pa.Array, uids: np.ndarray, bits: int, block: int) -> pa.RecordBatch:
-    """One row for each bucket: windows' keys in row order, which of them are blocks, the rows'
-    first ordinal and the steps to the following ones, and each row's number of windows."""
+def _pack(column: pa.Array, uids: np.ndarray, bits: int, least: int) -> pa.RecordBatch:
+    """One row for each bucket: windows' keys in row order, the rows' first ordinal and the steps to
+    the following ones, and each row's number of windows."""
     words = Words(column)
-    h, at = row_windows(words, block)
+    h, at = row_windows(words, least)
     rows = np.searchsorted(words.first, at, "right") - 1
-    is_block = (at - words.first[rows]) % block == 0
     bucket = (h >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
     order = np.argsort(bucket, kind="stable")
     key = ((h >> np.uint64(64 - bits - 8 * KEY_BYTES)) if bits + 8 * KEY_BYTES < 64 else h).astype("<u8")[order]
     packed = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
-    rows, is_block, sorted_bucket = rows[order], is_block[order], bucket[order]
+    rows, sorted_bucket = rows[order], bucket[order]
     cut = np.flatnonzero(np.r_[True, sorted_bucket[1:] != sorted_bucket[:-1]]) if len(key) else np.zeros(0, np.int64)
     ends = np.r_[cut[1:], len(key)] if len(key) else cut
-    keys, flags, own, counts = [], [], [], []
+    keys, own, counts = [], [], []
     for i, j in zip(cut, ends):
         r = rows[i:j]
         begin = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
         ids = uids[r[begin]]
         keys.append(packed[i:j].tobytes())
-        flags.append(np.packbits(is_block[i:j]).tobytes())
         steps = np.diff(ids)
         own.append(ids[:1].tobytes() + (steps.astype(np.int32).tobytes() if not len(steps) or np.abs(steps).max() < 1 << 31 else b"w" + ids.tobytes()))
         counts.append(np.diff(np.r_[begin, j - i]).astype(np.uint32).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(sorted_bucket[cut], pa.int32()), *(pa.array(x, pa.binary()) for x in (keys, flags, own, counts))], ["bucket", "keys", "flags", "rows", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(sorted_bucket[cut], pa.int32()), *(pa.array(x, pa.binary()) for x in (keys, own, counts))], ["bucket", "keys", "rows", "counts"])
 
 
-def _unpack(keys: bytes, flags: bytes, rows: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(keys: bytes, rows: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(keys) // KEY_BYTES
     wide = np.zeros((n, 8), np.uint8)
     wide[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(n, KEY_BYTES)
@@ -66,35 +62,29 @@ def _unpack(keys: bytes, flags: bytes, rows: bytes, counts: bytes) -> tuple[np.n
         ids = np.frombuffer(rows, np.int64, offset=9)
     else:
         ids = np.frombuffer(rows, np.int64, 1)[0] + np.r_[0, np.cumsum(np.frombuffer(rows, np.int32, offset=8), dtype=np.int64)]
-    return wide.view("<u8").ravel(), np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool), np.repeat(ids, count)
+    return wide.view("<u8").ravel(), np.repeat(ids, count)
 
 
 def _meet(group: pa.Table) -> pa.Table:
-    """(ref, row, keys) of a bucket: for each row the packed keys that it shares with the first row
-    that has them, and with the last one before it."""
-    parts = [_unpack(*x) for x in zip(*(group.column(c).to_pylist() for c in ("keys", "flags", "rows", "counts")))]
-    bucket = group.column("bucket")[0].as_py()
-    key, block, row = (np.concatenate(x) for x in zip(*parts))
+    """(ref, row) of a bucket: each row with the first row that has one of its keys, and with the
+    last one before it that has."""
+    parts = [_unpack(*x) for x in zip(*(group.column(c).to_pylist() for c in ("keys", "rows", "counts")))]
+    key, row = (np.concatenate(x) for x in zip(*parts))
     del parts
     order = np.lexsort((row, key))
-    key, block, row = key[order], block[order], row[order]
-    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[begin, len(key)])
-    first, last = np.minimum.reduceat(row, begin), np.maximum.reduceat(row, begin)
-    good = np.repeat((size > 1) & (first != last) & np.logical_or.reduceat(block, begin), size)
-    # the row before in the same set, and the first one for repeats of a window within a row
+    key, row = key[order], row[order]
+    del order
+    new = np.r_[True, key[1:] != key[:-1]]
+    begin = np.flatnonzero(new)
+    first = np.repeat(row[begin], np.diff(np.r_[begin, len(key)]))
     before = np.r_[row[:1], row[:-1]]
-    ref = np.repeat(first, size)
-    near = good & (before != row) & (before != ref) & np.r_[False, key[1:] == key[:-1]]
-    key, row, ref = np.r_[key[good], key[near]], np.r_[row[good], row[near]], np.r_[ref[good], before[near]]
-    order = np.lexsort((key, row, ref))
-    key, row, ref = key[order], row[order], ref[order]
-    new = np.r_[True, (row[1:] != row[:-1]) | (ref[1:] != ref[:-1])] if len(key) else np.zeros(0, bool)
-    cut = np.flatnonzero(new)
-    ends = np.r_[cut[1:], len(key)] if len(key) else cut
-    pairs = cut[row[cut] != ref[cut]]
-    hits = [np.unique(key[i:j]).tobytes() for i, j in zip(cut, ends) if row[i] != ref[i]]
-    return pa.table({"bucket": pa.array([bucket] * len(pairs), pa.int32()), "ref": pa.array(ref[pairs], pa.int64()), UID: pa.array(row[pairs], pa.int64()), "keys": pa.array(hits, pa.binary())})
+    late = row != first
+    near = late & (before != row) & (before != first)
+    ref, row = np.r_[first[late], before[near]], np.r_[row[late], row[near]]
+    order = np.lexsort((row, ref))
+    ref, row = ref[order], row[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (ref[1:] != ref[:-1])] if len(row) else np.zeros(0, bool)
+    return pa.table({"ref": pa.array(ref[new], pa.int64()), UID: pa.array(row[new], pa.int64())})
 
 
 def _distinct(text_words: Words, vocabulary: dict[bytes, int]) -> np.ndarray:
@@ -103,35 +93,30 @@ def _distinct(text_words: Words, vocabulary: dict[bytes, int]) -> np.ndarray:
     return np.array([vocabulary.setdefault(data[s:e], len(vocabulary)) for s, e in zip(text_words.start.tolist(), text_words.end.tolist())], np.int64)
 
 
-def repeats(left: str, right: str, hits: np.ndarray | None = None, bits: int = 0, block: int = BLOCK, least: int = LEAST) -> list[tuple[int, int, int]]:
+def repeats(left: str, right: str, least: int = LEAST) -> list[tuple[int, int, int]]:
     """(start in left, start in right, words) of maximal exact repeats of at least least words. Each
-    window of left whose (bucket, key) is among hits (all windows, if it is None) lies in one that is
-    the longest through it, or the first of several that run to the end of left; windows within one
-    that has been found are not looked at again, so texts of one repeated word stay cheap."""
+    window of least words of left that right has lies in one that is the longest through it, or the
+    first of several that run to the end of left; windows within one that has been found are not
+    looked at again, so texts of one repeated word stay cheap."""
     a, b = Words(pa.array([left])), Words(pa.array([right]))
-    if len(a) < block or len(b) < block:
+    if len(a) < least or len(b) < least:
         return []
-    ha, hb = row_windows(a, block)[0], row_windows(b, block)[0]
-    shift = np.uint64(max(0, 64 - bits - 8 * KEY_BYTES))
-    if hits is not None:
-        pa_ = np.flatnonzero(np.isin(ha >> shift, hits))
-        pb = np.flatnonzero(np.isin(hb >> shift, hits))
-    else:
-        pa_, pb = np.arange(len(ha)), np.arange(len(hb))
-    if not len(pa_) or not len(pb):
+    ha, hb = row_windows(a, least)[0], row_windows(b, least)[0]
+    by = np.argsort(hb, kind="stable")
+    sorted_b = hb[by]
+    lo, hi = np.searchsorted(sorted_b, ha, "left"), np.searchsorted(sorted_b, ha, "right")
+    hit = np.flatnonzero(hi > lo)
+    if not len(hit):
         return []
-    by = np.argsort(hb[pb], kind="stable")
-    sorted_b = hb[pb][by]
-    lo, hi = np.searchsorted(sorted_b, ha[pa_], "left"), np.searchsorted(sorted_b, ha[pa_], "right")
     vocabulary: dict[bytes, int] = {}
     na, nb = _distinct(a, vocabulary), _distinct(b, vocabulary)
     out, seen = [], -1
-    for p, i, j in zip(pa_.tolist(), lo.tolist(), hi.tolist()):
-        if p + block <= seen:
+    for p, i, j in zip(hit.tolist(), lo[hit].tolist(), hi[hit].tolist()):
+        if p + least <= seen:
             continue
         best = None
-        for q in np.sort(pb[by[i:j]]).tolist():
-            if not (na[p : p + block] == nb[q : q + block]).all():
+        for q in by[i:j].tolist():
+            if not (na[p : p + least] == nb[q : q + least]).all():
                 continue
             back, on = _run(na, nb, p - 1, q - 1, -1), _run(na, nb, p, q, 1)
             if best is None or back + on > best[2]:
@@ -140,8 +125,7 @@ def repeats(left: str, right: str, hits: np.ndarray | None = None, bits: int = 0
                 break
         if best is not None:
             seen = max(seen, best[0] + best[2])
-            if best[2] >= least:
-                out.append(best)
+            out.append(best)
     return out
 
 
@@ -160,49 +144,43 @@ def _run(a: np.ndarray, b: np.ndarray, i: int, j: int, step: int) -> int:
     return done
 
 
-def repeated_passages(docs: DataFrame, block: int = BLOCK, least: int = LEAST) -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, start, words, ref_doc_id, ref_start): the maximal exact repeats of at least least
-    words (2 * block - 1 at the least) that a row shares with an earlier one; positions count words
-    from 0. Words are what white space separates, compared byte for byte.
-
-    For each of its shared window hashes, a row is compared with the first row, in the table's order,
-    that has it, and with the one just before it, so a passage of n rows gives at most about 2 n
-    results, not n squared. Repeats within one row are not reported. Null and empty texts and those of fewer than block words give nothing. Repeated
-    rows repeat the first of them whole. Null doc_ids stay null. An empty table gives no rows.
-    Whole texts are read; other columns are not.
+    words that a row shares with an earlier one; positions count words from 0. Words are what white
+    space separates, compared byte for byte.
+
+    For each window of least words, a row is compared with the first row, in the table's order, that
+    has it, and with the one just before it; of two rows, all shared passages are given. So every
+    word of a passage that another row has is in some result, and two rows with the same passage are
+    compared or both lead to the first that has it, window by window; n copies give about 2 n pairs,
+    not n squared. A passage that is longer with a row in between than with those two comes in
+    pieces that overlap. Repeats within one row are not reported. Null and empty texts and those of
+    fewer than least words give nothing. Repeated rows repeat the first of them whole. Null doc_ids
+    stay null. An empty table gives no rows. Whole texts are read; other columns are not.
     """
-    if least < 2 * block - 1:
-        raise ValueError("passages of fewer than 2 * block - 1 words may hold no whole block")
     texts = with_uid(stable(docs)).select(UID, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = buckets_for(docs, 4 << 20, 16)
     bits = buckets.bit_length() - 1
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _pack(batch.column(1), batch.column(0).to_numpy(), bits, block)
-
-    def whole(group: pa.Table) -> pa.Table:
-        # pieces of a pair from all buckets: back to (bucket, key) in one number
-        width = np.uint64(8 * KEY_BYTES)
-        hits = [((np.uint64(b) << width) if bits else np.uint64(0)) | np.frombuffer(k, np.uint64) for b, k in zip(group.column("bucket").to_pylist(), group.column("keys").to_pylist())]
-        return np.concatenate(hits)
+            yield _pack(batch.column(1), batch.column(0).to_numpy(), bits, least)
 
     spark = docs.sparkSession
-    where = scratch(spark, "hits")
-    packed = texts.select(UID, "text").mapInArrow(probe, "bucket int, keys binary, flags binary, rows binary, counts binary")
-    packed.groupBy("bucket").applyInArrow(_meet, f"bucket int, ref long, {UID} long, keys binary").write.parquet(where)
-    pairs = spark.read.parquet(where).groupBy("ref", UID).agg(F.collect_list(F.struct("bucket", "keys")).alias("hits"))
+    where = scratch(spark, "met")
+    packed = texts.select(UID, "text").mapInArrow(probe, "bucket int, keys binary, rows binary, counts binary")
+    packed.groupBy("bucket").applyInArrow(_meet, f"ref long, {UID} long").write.parquet(where)
+    pairs = spark.read.parquet(where).distinct()
     left = texts.withColumnRenamed("text", "left_text")
     right = texts.select(F.col(UID).alias("ref"), F.col("doc_id").alias("ref_doc_id"), F.col("text").alias("right_text"))
-    both = pairs.join(left, UID).join(right, "ref").select("doc_id", "left_text", "ref_doc_id", "right_text", "hits")
+    both = pairs.join(left, UID).join(right, "ref").select("doc_id", "left_text", "ref_doc_id", "right_text")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 rows = []
                 for r in batch.slice(at, 64).to_pylist():
-                    hits = whole(pa.table({"bucket": [h["bucket"] for h in r["hits"]], "keys": [h["keys"] for h in r["hits"]]}))
-                    rows += [(r["doc_id"], s, n, r["ref_doc_id"], q) for s, q, n in repeats(r["left_text"], r["right_text"], hits, bits, block, least)]
+                    rows += [(r["doc_id"], s, n, r["ref_doc_id"], q) for s, q, n in repeats(r["left_text"], r["right_text"], least)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, ["doc_id", "start", "words", "ref_doc_id", "ref_start"])
 
     return both.mapInArrow(extend, RESULT)

@@ -129,6 +129,31 @@ def test_passages_of_a_corpus(spark):
     assert sum(len(v & covered[i]) for i, v in need.items()) >= 0.99 * sum(map(len, need.values()))
 
 
+def test_passages_behind_boilerplate(spark):
+    """Copies of pieces of 49 words before, between and after: the whole passages must still be met."""
+    p = [f"p{i}" for i in range(60)]
+    rows = [p[:49], p[11:], p, p[:49], p[11:], p]
+    docs = [(k, " ".join([f"a{k}x{i}" for i in range(7 * k)] + x + [f"z{k}x{i}" for i in range(5)])) for k, x in enumerate(rows)]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    assert [tuple(r) for r in got] == [(5, 35, 60, 2, 14)]
+
+
+def test_every_word_of_shared_passages_is_reported(spark):
+    need, covered = defaultdict(set), defaultdict(set)
+    docs, first = texts(spark, SF2), {}
+    for r in registry.op3_substring_dedup(spark, SF2).collect():
+        covered[r.doc_id] |= set(range(r.start, r.start + r.words))
+        covered[r.ref_doc_id] |= set(range(r.ref_start, r.ref_start + r.words))
+    for i, text in docs.items():
+        w = text.split()
+        for k in range(len(w) - 49):
+            d, at = first.setdefault(tuple(w[k : k + 50]), (i, k))
+            if d != i:
+                need[i] |= set(range(k, k + 50))
+                need[d] |= set(range(at, at + 50))
+    assert need and all(v <= covered[i] for i, v in need.items())
+
+
 # 4
 
 def test_em_recovers_labellers():
