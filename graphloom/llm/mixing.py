@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import UID, stable, with_uid
 from graphloom.llm.tokenizer import VOCABULARY, tokenizer
-from graphloom.storage import scratch
+from graphloom.storage import cut, scratch
 
 ALPHA = 0.7
 FRACTION = 0.9
@@ -78,6 +78,22 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return part.mapInArrow(run, f"{UID} long, doc_id long, source string, n_tokens long")
 
 
+def _fill(sums: DataFrame, fraction: float) -> DataFrame:
+    """(key, budget) of fraction of all tokens, shared out by weight: sources smaller than their
+    share are whole, and what they leave goes to the others, until none is smaller."""
+    sums = cut(sums)
+    total, level, sources = None, None, None
+    while True:
+        above = sums if level is None else sums.where(F.col("tokens") > F.lit(level) * F.col("weight"))
+        n, tokens, weight = above.agg(F.count("*"), F.sum("tokens"), F.sum("weight")).first()
+        total = tokens if total is None else total
+        if not n or n == sources:
+            break
+        level, sources = (fraction * total - (total - tokens)) / weight, n
+    share = F.col("tokens") if not n else F.least("tokens", F.lit(level) * F.col("weight"))
+    return sums.select("key", F.floor(share).cast("long").alias("budget"))
+
+
 def select_rows(keyed: DataFrame, weights: dict | None = None, alpha: float = ALPHA, fraction: float = FRACTION, budget: int | None = None, seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:
     """(row key, doc_id, source, n_tokens) of the rows of keyed that are chosen; see mix_sources."""
     spark = keyed.sparkSession
@@ -93,9 +109,12 @@ def select_rows(keyed: DataFrame, weights: dict | None = None, alpha: float = AL
         given = spark.createDataFrame([("n" if k is None else "s" + k, float(w)) for k, w in weights.items()], "key string, weight double")
         sums = sums.join(given, "key")
     sums = sums.where("weight > 0")
-    whole = sums.agg(F.sum("weight").alias("all_weight"), F.min(F.col("tokens") / F.col("weight")).alias("least"))
-    room = F.lit(float(budget)) if budget is not None else F.lit(fraction) * F.col("least") * F.col("all_weight")
-    budgets = sums.crossJoin(F.broadcast(whole)).select("key", F.floor(room * F.col("weight") / F.col("all_weight")).cast("long").alias("budget"))
+    if weights is None and budget is None:
+        budgets = _fill(sums, fraction)
+    else:
+        whole = sums.agg(F.sum("weight").alias("all_weight"), F.min(F.col("tokens") / F.col("weight")).alias("least"))
+        room = F.lit(float(budget)) if budget is not None else F.lit(fraction) * F.col("least") * F.col("all_weight")
+        budgets = sums.crossJoin(F.broadcast(whole)).select("key", F.floor(room * F.col("weight") / F.col("all_weight")).cast("long").alias("budget"))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("n_tokens")
@@ -115,8 +134,10 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
     weights: target share of each source by name (None: the null source); sources not named are
     left out. Without it, a source's weight is its tokens to the power alpha. budget: tokens of the
-    whole mix; without it, fraction times the largest mix that no source is too small for. A source
-    smaller than its share is taken whole and not made up for by others. Documents without tokens
+    whole mix; a source smaller than its share is then taken whole and not made up for by others.
+    With neither, the mix is fraction of all tokens: sources smaller than their share are taken
+    whole, and the rest is shared out among the others, so a small source holds back no other. With
+    weights only, it is fraction times the largest mix that no source is too small for. Documents without tokens
     (null and empty texts) are never chosen. Repeated rows are separate documents; equal hashes are
     settled by doc_id, then by place. An empty table gives no rows. Other columns are not read.
     """

@@ -251,6 +251,28 @@ def test_mix_hits_its_targets(spark):
     assert sorted(got) != sorted(mixing.mix_sources(docs, weights={"src0": 2, "src1": 1}, budget=30_000, seed=4).collect())
 
 
+def test_small_sources_hold_back_no_other(spark):
+    docs = [(k, name, " ".join(f"w{(k * 7 + i) % 97}" for i in range(20 + k % 30))) for k, name in enumerate(["big"] * 300 + ["mid"] * 60 + ["few"] * 6)]
+    stray = [(9000, None, "one short stray text"), (9001, "dot", "and another")]
+    schema = "doc_id long, source string, text string"
+    lengths = {d: len(tokenizer().encode(x)) for d, _, x in docs + stray}
+    for rows in (docs, docs + stray):
+        got = mixing.mix_sources(spark.createDataFrame(rows, schema)).collect()
+        total, kept = sum(lengths[d] for d, _, _ in rows), Counter()
+        for r in got:
+            kept[r.source] += r.n_tokens
+        whole = {name: sum(lengths[d] for d, s, _ in rows if s == name) for name in {s for _, s, _ in rows}}
+        assert 0.9 * total - 8 <= sum(kept.values()) <= 0.9 * total
+        assert kept["big"] < whole["big"] and all(kept[s] == n for s, n in whole.items() if s != "big")
+
+
+def test_budgets_by_hand(spark):
+    """900 tokens give 112.5 a unit of weight; a and c are smaller, which leaves 700 for 5 units."""
+    sums = spark.createDataFrame([("a", 10.0, 1.0), ("b", 150.0, 1.0), ("c", 190.0, 2.0), ("d", 650.0, 4.0)], "key string, tokens double, weight double")
+    assert {r.key: r.budget for r in mixing._fill(sums, 0.9).collect()} == {"a": 10, "b": 140, "c": 190, "d": 560}
+    assert {r.key: r.budget for r in mixing._fill(sums, 1.0).collect()} == {"a": 10, "b": 150, "c": 190, "d": 650}
+
+
 # 8
 
 @pytest.mark.parametrize("text,hit", [
