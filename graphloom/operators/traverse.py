@@ -180,9 +180,9 @@ def _path(steps: DataFrame, starts: DataFrame, ends: DataFrame, depth: int, stop
     return empty
 
 
-def flow_of(flow_edges: DataFrame, starts: DataFrame, depth: int = 8, limit: int = 200, reverse: bool = False) -> DataFrame:
+def flow_of(flow_edges: DataFrame, starts: DataFrame, depth: int = 8, limit: int | None = 200, reverse: bool = False) -> DataFrame:
     """Flow edges met from starts (id), each once, with depth; the first limit of them by depth and
-    id. A level that fills the limit is the last."""
+    id. A level that fills the limit is the last. Without a limit (None) nothing is cut."""
     a, b = ("target_node", "source_node") if reverse else ("source_node", "target_node")
     frontier = cut(starts.select("id").distinct())
     visited, out, left = [frontier], [], limit
@@ -191,12 +191,14 @@ def flow_of(flow_edges: DataFrame, starts: DataFrame, depth: int = 8, limit: int
         level = flow_edges.join(frontier.withColumnRenamed("id", a), a, "left_semi").select(*flow_edges.columns)
         if seen is not None:
             level = level.join(seen.select("id"), "id", "left_anti").select(*flow_edges.columns)
-        level = cut(level.withColumn("depth", F.lit(d)).orderBy("id").limit(left))
+        level = level.withColumn("depth", F.lit(d))
+        level = cut(level if left is None else level.orderBy("id").limit(left))
         out.append(level)
-        left -= level.count()
+        if left is not None:
+            left -= level.count()
         seen = _union(out)
         frontier = cut(level.select(F.col(b).alias("id")).distinct().join(_union(visited), "id", "left_anti"))
-        if left <= 0 or frontier.isEmpty():
+        if (left is not None and left <= 0) or frontier.isEmpty():
             break
         visited.append(frontier)
     return _union(out)

@@ -327,7 +327,7 @@ FROM a LEFT JOIN o USING (block) LEFT JOIN i USING (block) LEFT JOIN ac USING (b
 
 @query(None)
 def flow_of(s, d):
-    return T.flow_of(X.flow_edges(s, d), X.flow_nodes(s, d).where("kind = 'TAINT_SOURCE'"), 3, 1_000_000).select("id", "depth")
+    return T.flow_of(X.flow_edges(s, d), X.flow_nodes(s, d).where("kind = 'TAINT_SOURCE'"), 3, None).select("id", "depth")
 
 
 def _flow(a, b):
@@ -340,7 +340,7 @@ ORACLE["flow_of"] = _flow("source_node", "target_node")
 
 @query(_flow("target_node", "source_node"))
 def flow_of_reverse(s, d):
-    return T.flow_of(X.flow_edges(s, d), X.flow_nodes(s, d).where("kind = 'TAINT_SOURCE'"), 3, 1_000_000, reverse=True).select("id", "depth")
+    return T.flow_of(X.flow_edges(s, d), X.flow_nodes(s, d).where("kind = 'TAINT_SOURCE'"), 3, None, reverse=True).select("id", "depth")
 
 
 @query(None)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import traverse as T
 from graphloom.operators.lookup import in_context
+from graphloom.plans import catalog
 from graphloom.schema import EDGES
 
 
@@ -89,6 +90,17 @@ def test_flow_limit_stops(spark):
     assert T.flow_of(e, ids(spark, "n5"), 2, 9, reverse=True).agg(F.max("depth")).first()[0] == 2
 
 
+def test_flow_without_a_limit(spark, monkeypatch):
+    e = spark.createDataFrame([(f"e{i:03}", f"n{i // 25}", f"n{i // 25 + 1}", "DEF_USE") for i in range(250)], "id string, source_node string, target_node string, relation string")
+    assert T.flow_of(e, ids(spark, "n0"), 9, None).count() == 225
+    assert T.flow_of(e, ids(spark, "n9"), 2, None, reverse=True).count() == 50
+    asked, own = [], T.flow_of
+    monkeypatch.setattr(T, "flow_of", lambda edges, starts, depth, limit, **k: asked.append(limit) or own(edges, starts, depth, limit, **k))
+    for name in ("flow_of", "flow_of_reverse"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked == [None, None]
+
+
 def test_frontiers_and_endpoints(spark, chain):
     assert [T.callers_frontier(chain, ids(spark, "L"), d).first()[0] for d in (1, 2, 3)] == [2, 2, 0]
     e = spark.createDataFrame([(f"e{i}", f"n{i}", f"n{i + 1}", "DEF_USE") for i in range(5)], "id string, source_node string, target_node string, relation string")
