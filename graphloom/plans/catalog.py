@@ -353,6 +353,16 @@ ORACLE["flow_path"] = oracle_with("fnodes", "fedges") + """, w(id, d) AS (SELECT
 SELECT CAST(coalesce(min(d), 0) AS INT) AS length FROM w WHERE d > 0 AND id IN (SELECT id FROM fnodes WHERE kind = 'CONDITION' AND line % 50 = 0)"""
 
 
+@query(None)
+def flow_path_all(s, d):
+    n = X.flow_nodes(s, d)
+    return T.flow_path(X.flow_edges(s, d), n.where("kind = 'SANITIZER'"), n.where("kind = 'CONDITION'"), 10).agg(F.coalesce(F.max("depth"), F.lit(0)).alias("length"))
+
+
+ORACLE["flow_path_all"] = oracle_with("fnodes", "fedges") + """, w(id, d) AS (SELECT id, 0 FROM fnodes WHERE kind = 'SANITIZER' UNION SELECT target_node, d + 1 FROM w JOIN fedges ON source_node = w.id WHERE d < 10 AND relation IN ('DEF_USE','ARGUMENT_FLOW'))
+SELECT CAST(coalesce(min(d), 0) AS INT) AS length FROM w WHERE d > 0 AND id IN (SELECT id FROM fnodes WHERE kind = 'CONDITION')"""
+
+
 @query(None)
 def taint_path(s, d):
     return T.taint_path(X.flow_nodes(s, d), X.flow_edges(s, d)).agg(F.coalesce(F.max("depth"), F.lit(0)).alias("length"))
