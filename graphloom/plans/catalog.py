@@ -391,6 +391,12 @@ def di_wiring(s, d):
     return B.wire(X.edges(s, d).where("relation <> 'INJECTS' or source_id like '%.n3.%'")).select("source_id", "target_id", "confidence")
 
 
+@query("""SELECT owner AS source_id, impl AS target_id, CASE WHEN max(n) = 1 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS confidence FROM (SELECT DISTINCT source_id AS owner, target_id AS iface FROM edges WHERE relation = 'INJECTS')
+JOIN (SELECT iface, impl, count(*) OVER (PARTITION BY iface) AS n FROM (SELECT DISTINCT target_id AS iface, source_id AS impl FROM edges WHERE relation = 'IMPLEMENTS')) USING (iface) GROUP BY 1, 2""", ("edges",))
+def di_wiring_all(s, d):
+    return B.wire(X.edges(s, d)).select("source_id", "target_id", "confidence")
+
+
 @query("""SELECT source_id, impl AS target_id, CASE WHEN n = 1 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS confidence FROM (SELECT DISTINCT source_id, target_id AS im FROM edges WHERE relation = 'CALLS' AND NOT is_external)
 JOIN (SELECT im, impl, count(*) OVER (PARTITION BY im) AS n FROM (SELECT DISTINCT target_id AS im, source_id AS impl FROM edges WHERE relation = 'OVERRIDES')) USING (im)
 JOIN (SELECT DISTINCT source_id AS ot, target_id AS it FROM edges WHERE relation IN ('INJECTS','REFERENCES')) ON ot = split_part(source_id, '#', 1) AND it = split_part(im, '#', 1)
