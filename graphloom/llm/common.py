@@ -6,12 +6,16 @@ for the bulk of the text. All hashes are computed modulo 2**64 and finished with
 
 from __future__ import annotations
 
+import re
+import struct
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.storage import scratch, shared_dir
+from graphloom.storage import cut
 
 UID = "__gl_uid"
 SEGMENT = 1 << 18
@@ -23,22 +27,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_MOVING = ("Join", "Aggregate", "Repartition", "Sort", "Window", "Sample", "Limit", "Distinct", "Deduplicate")
+def fresh(columns: list[str], name: str = UID) -> str:
+    """name, with as many underscores behind it as make it no column's name in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def every(columns: list[str]) -> list[F.Column]:
+    """The columns of these names, whatever signs they hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def _scan(df: DataFrame) -> bool:
+    """Whether df is a scan of Parquet files, or projections and filters of one."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().apply(0)
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+
+
+def _plain(path: str) -> str:
+    """The path with one slash behind its scheme: Spark writes file:/x here and file:///x there."""
+    return re.sub("^([^:/]+):/+", r"\1:/", path)
+
+
+def path_hash(path: str, seed: int) -> int:
+    """What xxhash64(seed, path) is to Spark, without its sign."""
+    inner = xxhash.xxh64(struct.pack("<i", seed), seed=42).intdigest()
+    return xxhash.xxh64(_plain(path).encode(), seed=inner).intdigest()
+
+
+def file_bits(files: list[str]) -> tuple[int, int]:
+    """(bits, seed): the top bits of the files' seeded hashes differ between any two of them."""
+    bits = max(0, len(files) - 1).bit_length()
+    while True:
+        for seed in range(20):
+            if not bits or len({path_hash(f, seed) >> (64 - bits) for f in files}) == len(files):
+                return bits, seed
+        bits += 1
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """df with rows whose order is the same at each evaluation. Plans of scans, projections and
-    filters have that already; others are checkpointed in the shared folder."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(word in plan for word in _MOVING):
-        shared_dir(df.sparkSession)
-        return df.checkpoint()
     return df
 
 
-def with_uid(df: DataFrame) -> DataFrame:
-    """Adds a key of the physical row, so that repeated and null doc_ids stay separate rows."""
-    return df.withColumn(UID, F.monotonically_increasing_id())
+def with_uid(df: DataFrame, name: str = UID) -> DataFrame:
+    """Adds a key of the physical row, so that repeated and null doc_ids stay separate rows.
+
+    Rows of Parquet files are keyed by file and place in it, so the key is the same whenever and
+    however the files are read: the number of executors, lost ones and the size of splits don't
+    matter. Anything else is written once with its keys to the shared folder, and read from there.
+    Keys order rows by file, in some fixed order of the files, and then by place.
+    """
+    if not _scan(df):
+        return cut(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
+    meta = df.metadataColumn("_metadata")
+    bits, seed = file_bits(sorted(set(df.inputFiles())))
+    if not bits:
+        return df.withColumn(name, meta["row_index"])
+    path = F.regexp_replace(meta["file_path"], "^([^:/]+):/+", "$1:/")
+    room = 63 - bits
+    key = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.lit(seed), path), 64 - bits), room).bitwiseOR(meta["row_index"])
+    return df.withColumn(name, F.when(meta["row_index"] < F.lit(1 << room), key).otherwise(F.raise_error(F.lit("a file has too many rows for its key"))))
 
 
 def input_bytes(df: DataFrame) -> int:

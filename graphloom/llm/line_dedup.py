@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import UID, stable, with_uid
+from graphloom.llm.common import UID, with_uid
 
 WIDTH = 3
 
@@ -48,7 +48,7 @@ def line_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     Repeated rows lose all that an earlier one has; null doc_ids come last in the order. An empty
     table gives no rows. Other columns are not read.
     """
-    keyed = with_uid(stable(docs)).select(UID, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     cut = covered_lines(keyed, width)
     numbered = F.arrays_zip(F.split("text", "\n").alias("line"), F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1).alias("i"))
     kept = F.transform(F.filter(numbered, lambda z: ~F.array_contains(F.col("lines"), z["i"])), lambda z: z["line"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import UID, stable, with_uid
+from graphloom.llm.common import UID, every, fresh, with_uid
 from graphloom.llm.tokenizer import VOCABULARY, tokenizer
 from graphloom.storage import cut, scratch
 
@@ -141,4 +141,14 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     (null and empty texts) are never chosen. Repeated rows are separate documents; equal hashes are
     settled by doc_id, then by place. An empty table gives no rows. Other columns are not read.
     """
-    return select_rows(with_uid(stable(docs)), **options).drop(UID)
+    return select_rows(with_uid(docs.select("doc_id", "source", "text")), **options).drop(UID)
+
+
+def keep_mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns kept, that mix_sources() chooses; each row at most once, so
+    repeated rows stay as often as they are chosen. Rows with null or empty texts go. An empty table
+    stays empty."""
+    key = fresh(docs.columns)
+    keyed = with_uid(docs, key)
+    chosen = select_rows(keyed.select(F.col(key).alias(UID), "doc_id", "source", "text"), **options).select(F.col(UID).alias(key))
+    return keyed.join(chosen, key, "left_semi").select(*every(docs.columns))

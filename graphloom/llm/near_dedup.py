@@ -1,12 +1,20 @@
 """MinHash near-duplicate groups by a multi-index Hamming join.
 
-A document's signature has SYMBOLS symbols of eight bits, each the low bits of the smallest
-permuted hash of its three-word shingles. Two signatures are near when at most RADIUS symbols
+A document's signature has SYMBOLS symbols of eight bits, each made of all bits of the smallest
+permuted hash of its three-word shingles; half of the symbols come from one half of the shingle's
+64-bit hash, half from the other, so that even texts of one shingle agree only if that is the same.
+Two signatures are near when at most RADIUS symbols
 differ. The signature is split into CHUNKS chunks; with CHUNKS * (ERRORS + 1) = RADIUS + 1, a near
 pair has, by the pigeonhole principle, a chunk with at most ERRORS differing symbols. Each chunk is
 looked up under every choice of ERRORS symbols left out, so that all near pairs meet under some key.
-Sets that meet are compared in full, and the groups are the connected components of near pairs.
-Equal signatures are folded into one before the join, so copies cost nothing there.
+The groups are the connected components of near pairs. Equal signatures are folded into one before
+the join, so copies cost nothing there.
+
+What meets under a key is joined in two steps, neither of which holds a key's members in one task.
+First all of them are compared with the key's least member, found by a partial aggregate. Keys whose
+members are then in one component are done, for whatever else they could link is linked. Members of
+the others are spread over blocks of about TILE by hash, and each pair of blocks is a tile of its own
+in which members of different components are compared in full. So no pair within the radius is lost.
 """
 
 from __future__ import annotations
@@ -19,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import UID, Words, buckets_for, mix, stable, windows, with_uid
-from graphloom.storage import scratch
+from graphloom.llm.common import UID, Words, every, fresh, mix, windows, with_uid
+from graphloom.storage import cut, drop, scratch
 
 SHINGLE = 3
 SYMBOLS = 64
@@ -31,6 +39,10 @@ _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 32, SYMBOLS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint64).astype(np.uint32)
 _CACHED = 1 << 16
+#: members of a block of a key's members; a tile has two
+TILE = 2_000
+#: edges, of 16 bytes, that the driver may join by itself
+LOCAL_EDGES = 200_000
 
 
 def shingles(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,23 +79,32 @@ def shingles(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return all_h, all_rows[begin], begin
 
 
+def symbols(least: np.ndarray) -> np.ndarray:
+    """Eight bits of each 32-bit value, all bits of which have a part in them."""
+    x = least ^ (least >> np.uint32(16))
+    x *= np.uint32(0x7FEB352D)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x846CA68B)
+    return (x >> np.uint32(24)).astype(np.uint8)
+
+
 def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Rows that have shingles and their signatures, uint8 (rows, SYMBOLS)."""
     h, rows, begin = shingles(column)
     out = np.empty((len(rows), SYMBOLS), np.uint8)
-    h32 = (h >> np.uint64(32)).astype(np.uint32)
-    ends = np.r_[begin[1:], len(h32)]
+    halves = (h >> np.uint64(32)).astype(np.uint32), h.astype(np.uint32)
+    ends = np.r_[begin[1:], len(h)]
     i = 0
     while i < len(rows):
         j = max(i + 1, int(np.searchsorted(ends, begin[i] + _CACHED, "right")))
         lo, hi = begin[i], ends[j - 1]
         best = np.full((j - i, SYMBOLS), 0xFFFFFFFF, np.uint32)
         for at in range(lo, hi, _CACHED * 4):  # one very long row goes in pieces
-            part = h32[at : min(hi, at + _CACHED * 4)]
+            parts = [x[at : min(hi, at + _CACHED * 4)] for x in halves]
             cuts = begin[i:j] - at if hi - lo <= _CACHED * 4 else np.zeros(1, np.int64)
             for k in range(SYMBOLS):
-                np.minimum(best[:, k], np.minimum.reduceat(part * _A[k] + _B[k], cuts), out=best[:, k])
-        out[i:j] = best & np.uint32(255)
+                np.minimum(best[:, k], np.minimum.reduceat(parts[2 * k // SYMBOLS] * _A[k] + _B[k], cuts), out=best[:, k])
+        out[i:j] = symbols(best)
         i = j
     return rows, out
 
@@ -105,24 +126,49 @@ def keys(sig: np.ndarray) -> np.ndarray:
     return np.stack(out, 1) if len(sig) else np.zeros((0, len(masks())), np.uint64)
 
 
-def near_forest(sig: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the near pairs. Each member looks only at those not yet
-    reached, so that a dense group takes one comparison a member."""
-    left, edges = np.arange(len(sig)), []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
+def near_links(sig: np.ndarray, component: np.ndarray, radius: int = RADIUS) -> set[tuple[int, int]]:
+    """Pairs of components that near pairs link, enough of them that what near pairs connect is
+    connected. Each member looks only at those not yet reached, so that a dense group takes one
+    comparison a member."""
+    columns, left, alive, links = np.ascontiguousarray(sig.T), np.arange(len(sig)), np.ones(len(sig), bool), set()
+    while alive.any():
+        if 2 * alive.sum() < len(left):
+            columns, left, alive = np.ascontiguousarray(columns[:, alive]), left[alive], np.ones(int(alive.sum()), bool)
+        own = alive & (component[left] == component[left[int(np.argmax(alive))]])
+        alive &= ~own
+        queue = left[own].tolist()
+        while queue and alive.any():
             x = queue.pop()
-            near = (sig[left] != sig[x]).sum(1) <= radius
-            queue += left[near].tolist()
-            edges += [(int(x), int(y)) for y in left[near]]
-            left = left[~near]
-    return edges
-
-
-def components(edges: DataFrame) -> DataFrame:
+            near = ((columns != sig[x][:, None]).view(np.uint8).sum(0, dtype=np.uint8) <= radius) & alive
+            if near.any():
+                met = np.unique(component[left[near]])
+                links |= {(int(component[x]), int(c)) for c in met}
+                reached = alive & np.isin(component[left], met)
+                queue += left[reached].tolist()
+                alive &= ~reached
+    return links
+
+
+def _joined(edges: pa.Table) -> pa.Table:
+    """components() of edges in memory."""
+    a, b = edges.column("a").to_numpy(), edges.column("b").to_numpy()
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    parent = list(range(len(nodes)))
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        parent[max(x, y)] = min(x, y)
+    for x in range(len(parent)):  # a parent is never greater than its child
+        parent[x] = parent[parent[x]]
+    return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(nodes[np.array(parent, np.int64)], pa.int64())})
+
+
+def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """(node, root) of each node of the undirected edges (a, b); root is the component's smallest
-    node. Alternates large-star and small-star, each round a written table in the shared folder."""
+    node. Up to local edges are joined by the driver; for more, large-star and small-star alternate,
+    each round a written table in the shared folder."""
     spark = edges.sparkSession
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
@@ -136,16 +182,23 @@ def components(edges: DataFrame) -> DataFrame:
             out = out.unionByName(least.select("a", F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
+    paths: list[str] = []
+
     def written(df: DataFrame) -> DataFrame:
-        path = scratch(spark, "stars")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
+        paths.append(scratch(spark, "stars"))
+        df.write.parquet(paths[-1])
+        for old in paths[:-1]:
+            drop(spark, old)
+        del paths[:-1]
+        return spark.read.parquet(paths[-1])
 
     def mark(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before, after = None, mark(now)
+    if after[0] <= local:
+        return cut(spark.createDataFrame(_joined(now.toArrow()), "node long, root long"), "components")
     while before != after:
         now = written(stars(stars(now, True), False))
         before, after = after, mark(now)
@@ -165,76 +218,111 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.select(UID, F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).mapInArrow(run, f"{UID} long, doc_id long, sig binary")
 
 
-def _met(folded: DataFrame, buckets: int) -> DataFrame:
-    """Sets of nodes that share a key, as sorted arrays without repeats."""
-    shift = np.uint64(64 - max(1, buckets.bit_length() - 1))
+def _keyed(folded: DataFrame) -> DataFrame:
+    """(key, node): the lookup keys of each node."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-            k = keys(sig)
-            nodes = np.repeat(batch.column(0).to_numpy(), k.shape[1])
-            k = k.ravel()
-            bucket = (k >> shift).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            k, nodes, bucket = k[order], nodes[order], bucket[order]
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[cut[1:], len(k)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([k[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()), pa.array([nodes[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())], ["bucket", "keys", "nodes"])
-
-    def meet(group: pa.Table) -> pa.Table:
-        k = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64)
-        nodes = np.frombuffer(b"".join(group.column("nodes").to_pylist()), np.int64)
-        order = np.lexsort((nodes, k))
-        k, nodes = k[order], nodes[order]
-        cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        ends = np.r_[cut[1:], len(k)]
-        sets = {nodes[i:j].tobytes() for i, j in zip(cut[ends - cut > 1], ends[ends - cut > 1])}
-        return pa.table({"members": pa.array([np.frombuffer(s, np.int64) for s in sorted(sets)], pa.list_(pa.int64()))})
-
-    return folded.select("node", "sig").mapInArrow(pack, "bucket long, keys binary, nodes binary").groupBy("bucket").applyInArrow(meet, "members array<long>").dropDuplicates(["members"])
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                k = keys(_matrix(part.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().astype(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), k.shape[1]))], ["key", "node"])
 
+    return folded.select("node", "sig").mapInArrow(run, "key long, node long")
+
+
+def _matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SYMBOLS)
 
-def near_groups(keyed: DataFrame) -> DataFrame:
-    """(row key, doc_id, kept key, kept doc_id) of each row that has a near or exact copy, the one
-    that stays included: the smallest doc_id of the group, null ones last, then the first row."""
-    spark = keyed.sparkSession
-    where = scratch(spark, "signatures")
-    _signed(keyed).write.parquet(where)
-    signed = spark.read.parquet(where)
-    folded = signed.groupBy("sig").agg(F.min(UID).alias("node"))
-    met = _met(folded, buckets_for(signed, 1 << 18, 16)).withColumn("met", F.xxhash64("members")).select("met", F.explode("members").alias("node"))
+
+def _near(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, sig_a, sig_b) within the radius, as (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(1) <= RADIUS
+                yield batch.select([0, 1]).filter(pa.array(near))
+
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
+def _tiled(rest: DataFrame, tile: int) -> DataFrame:
+    """(a, b): links between components of the members (key, node, component, sig) of the keys, all
+    pairs of a key's members being compared within tiles of two of its blocks."""
+    size = rest.groupBy("key").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / F.lit(tile)).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    spread = rest.join(size, "key").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "component", "sig")
+    # tiles travel together, some 20,000 rows in a group, so that small ones cost little each
+    rows = size.agg(F.sum(F.col("n") * blocks)).first()[0] or 0
+    groups = max(1, int(rows) // 20_000)
 
     def verify(group: pa.Table) -> pa.Table:
-        nodes = group.column("node").to_numpy()
-        order = np.argsort(nodes, kind="stable")
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, SYMBOLS)[order]
-        edges = np.array(near_forest(sig), np.int64).reshape(-1, 2)
-        return pa.table({"a": nodes[order][edges[:, 0]], "b": nodes[order][edges[:, 1]]})
+        key, low, high, component = (group.column(c).to_numpy() for c in ("key", "low", "high", "component"))
+        order = np.lexsort((group.column("node").to_numpy(), high, low, key))
+        key, low, high, component, sig = key[order], low[order], high[order], component[order], _matrix(group.column("sig"))[order]
+        begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        links: set[tuple[int, int]] = set()
+        for i, j in zip(begin.tolist(), np.r_[begin[1:], len(key)].tolist()):
+            links |= near_links(sig[i:j], component[i:j])
+        both = np.array(sorted(links), np.int64).reshape(-1, 2)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    return spread.withColumn("group", F.pmod(F.xxhash64("key", "low", "high"), F.lit(groups))).groupBy("group").applyInArrow(verify, "a long, b long").distinct()
+
+
+def _roots(folded: DataFrame, tile: int = TILE) -> DataFrame:
+    """(node, root) of the nodes that have a near one; folded has (node, sig)."""
+    entries = _keyed(folded)
+    least = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
+    met = cut(entries.join(least, "key"), "met")
+    sig_a, sig_b = folded.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), folded.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
+    first = components(_near(met.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct().join(sig_b, "b").join(sig_a, "a")))
+    placed = met.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("component"))
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    rest = cut(placed.join(open_keys, "key").join(folded.select("node", "sig"), "node"), "open")
+    if rest.isEmpty():
+        return first
+    second = components(_tiled(rest, tile)).select(F.col("node").alias("component"), F.col("root").alias("whole"))
+    # nodes that only the second step links are components of their own after the first
+    alone = second.join(first.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("component").alias("root"))
+    return first.unionByName(alone).withColumnRenamed("root", "component").join(second, "component", "left").select("node", F.coalesce("whole", "component").alias("root"))
 
-    close = met.join(folded, "node").groupBy("met").applyInArrow(verify, "a long, b long")
-    roots = components(close)
-    copies = signed.join(folded, "sig").select(UID, "doc_id", "node")
-    grouped = copies.join(roots, "node", "left").select(UID, "doc_id", F.coalesce("root", "node").alias("root"))
-    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(UID).alias("key"))).alias("best"), F.count("*").alias("size")).where("size > 1")
-    return grouped.join(best, "root").select(UID, "doc_id", F.col("best.key").alias("kept_key"), F.col("best.doc_id").alias("kept_doc_id"))
+
+def near_groups(keyed: DataFrame) -> DataFrame:
+    """(row key, doc_id, kept key, kept doc_id) of each row that has a near or exact copy, the one
+    that stays included: the smallest doc_id of the group, null ones last, then the first row."""
+    signed = cut(_signed(keyed), "signatures")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(UID).alias("key"))
+    folded = cut(signed.groupBy("sig").agg(F.min(UID).alias("node"), F.min(place).alias("best"), F.count("*").alias("size")), "folded")
+    rooted = folded.join(_roots(folded), "node", "left").select("sig", "best", "size", F.coalesce("root", "node").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("best").alias("best"), F.sum("size").alias("size")).where("size > 1")
+    kept = rooted.select("sig", "root").join(best, "root").select("sig", "best")
+    return signed.join(kept, "sig").select(UID, "doc_id", F.col("best.key").alias("kept_key"), F.col("best.doc_id").alias("kept_doc_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, duplicate_of): each row that a group of near copies can spare, and the one it keeps.
 
-    Groups are the connected components of near signatures. Null texts and texts of nothing but
-    white space belong to no group; equal short texts of any length do. Repeated rows are copies
-    of each other; of equal doc_ids the first row stays. Null doc_ids stay null and are kept last.
-    An empty table gives no rows. Whole texts are hashed; other columns are not read.
+    Groups are the connected components of near signatures, links between different texts and copies
+    alike; of n copies, n - 1 are reported. Null texts and texts of nothing but white space belong to
+    no group; short texts are in one if they have the same words, or, without words, the same signs.
+    Repeated rows are copies of each other; of equal doc_ids the first row stays. Null doc_ids stay
+    null and are kept last. An empty table gives no rows. Whole texts are hashed; other columns are
+    not read, whatever their names.
     """
-    return near_groups(with_uid(stable(docs))).where(F.col(UID) != F.col("kept_key")).select("doc_id", F.col("kept_doc_id").alias("duplicate_of"))
+    keyed = with_uid(docs.select("doc_id", "text"))
+    return near_groups(keyed).where(F.col(UID) != F.col("kept_key")).select("doc_id", F.col("kept_doc_id").alias("duplicate_of"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns kept, without those that near_duplicates() reports."""
-    keyed = with_uid(stable(docs))
-    spare = near_groups(keyed).where(F.col(UID) != F.col("kept_key")).select(UID)
-    return keyed.join(spare, UID, "left_anti").select(*[keyed[c] for c in docs.columns])
+    """The rows of docs, all columns kept, without those that near_duplicates() reports.
+
+    So rows with null or blank texts all stay, and of repeated rows one. An empty table stays empty.
+    """
+    key = fresh(docs.columns)
+    keyed = with_uid(docs, key)
+    spare = near_groups(keyed.select(F.col(key).alias(UID), "doc_id", "text")).where(F.col(UID) != F.col("kept_key")).select(F.col(UID).alias(key))
+    return keyed.join(spare, key, "left_anti").select(*every(docs.columns))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import UID, Words, buckets_for, row_windows, stable, with_uid
+from graphloom.llm.common import UID, Words, buckets_for, row_windows, with_uid
 from graphloom.storage import scratch
 
 LEAST = 50
@@ -158,7 +158,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     fewer than least words give nothing. Repeated rows repeat the first of them whole. Null doc_ids
     stay null. An empty table gives no rows. Whole texts are read; other columns are not.
     """
-    texts = with_uid(stable(docs)).select(UID, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     buckets = buckets_for(docs, 4 << 20, 16)
     bits = buckets.bit_length() - 1
 

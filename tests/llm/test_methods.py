@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm import decontaminate, line_dedup, mixing, near_dedup, quality, registry, substring_dedup, token_counts, token_output, toxicity, weak_labels
-from graphloom.llm.common import Words, windows
+from graphloom.llm.common import UID, Words, file_bits, path_hash, windows, with_uid
 from graphloom.llm.tokenizer import tokenizer
 from graphloom.storage import scratch
 
@@ -378,8 +378,109 @@ def test_recall_of_similar_texts():
 
 def test_components_of_a_chain(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)]
-    got = near_dedup.components(spark.createDataFrame(pairs, "a long, b long")).collect()
-    assert {r.node: r.root for r in got} == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+    for local in (0, 1000):
+        got = near_dedup.components(spark.createDataFrame(pairs, "a long, b long"), local).collect()
+        assert len(got) == 44 and {r.node: r.root for r in got} == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_joined_edges_are_components():
+    r = random.Random(4)
+    for _ in range(30):
+        pairs = [(r.randrange(40), r.randrange(40)) for _ in range(r.randrange(45))]
+        of = {x: {x} for p in pairs for x in p}
+        for a, b in pairs:
+            both = of[a] | of[b]
+            for x in both:
+                of[x] = both
+        got = near_dedup._joined(pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())}))
+        assert dict(zip(got.column("node").to_pylist(), got.column("root").to_pylist())) == {x: min(s) for x, s in of.items()}
+
+
+def test_unrelated_short_texts_have_own_signatures():
+    r = random.Random(6)
+    words = ["w%d" % i for i in range(4000)]
+    three = list({" ".join(r.sample(words, 3)) for _ in range(5000)})
+    for rows in (three, words):
+        _, sig = near_dedup.signatures(pa.array(rows))
+        assert len({s.tobytes() for s in sig}) == len(rows)
+        near = [(sig[i + 1 :] != sig[i]).sum(1).min() for i in range(0, len(sig) - 1, 50)]
+        assert min(near) > near_dedup.RADIUS
+
+
+def test_near_duplicates_share_their_shingles(spark):
+    """By brute force over the sets of shingles: no text is dropped for one it has little in common with."""
+    import re
+
+    text = texts(spark, "/root/testdata/sf0.1")
+
+    def grams(t):
+        w = re.findall(r"[^\W_]+", t.lower()) or re.findall(r"\S+", t)
+        return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+
+    got = registry.op10_near_dedup(spark, "/root/testdata/sf0.1").collect()
+    alike = [len(a & b) / len(a | b) for a, b in ((grams(text[r.doc_id]), grams(text[r.duplicate_of])) for r in got)]
+    assert len(got) > 1000 and min(alike) > 0.3
+
+
+def test_members_of_a_hot_key_are_compared_in_tiles(spark):
+    """20,000 signatures share all symbols of a key; near ones are in pairs, far from the key's least
+    member. Tiles link just the pairs, whatever the size of a tile."""
+    rng = np.random.default_rng(12)
+    n = 10_000
+    sig = rng.integers(0, 256, (n, near_dedup.SYMBOLS), dtype=np.uint8)
+    sig[:, :6] = 7
+    twin = sig.copy()
+    twin[:, 20:30] += 1
+    rows = [(int(2 * i + k), s.tobytes()) for i in range(n) for k, s in ((0, sig[i]), (1, twin[i]))]
+    folded = spark.createDataFrame(rows, "node long, sig binary")
+    got = near_dedup._roots(folded, 1500).collect()
+    assert {r.node: r.root for r in got} == {2 * i + k: 2 * i for i in range(n) for k in (0, 1)}
+
+
+def test_dense_hot_key(spark):
+    """All members of a key within the radius of each other are one group, without a tile."""
+    base = np.random.default_rng(2).integers(0, 256, near_dedup.SYMBOLS, dtype=np.uint8)
+    rows = []
+    for i in range(20_000):
+        s = base.copy()
+        s[40 + i % 9] = i // 9 % 256
+        s[50 + i % 7] = i % 251
+        rows.append((i, s.tobytes()))
+    got = near_dedup._roots(spark.createDataFrame(rows, "node long, sig binary")).collect()
+    assert len(got) == 20_000 and {r.root for r in got} == {0}
+
+
+def test_keys_of_rows_survive_another_reading(spark, tmp_path):
+    """Twice the same rows, whatever the splits and the leaf parallelism between writing and reading."""
+    docs = spark.read.parquet(f"{SF2}/documents.parquet")
+    where = str(tmp_path / "in 1%/docs")
+    docs.repartition(8).write.parquet(where)
+
+    def results():
+        many = spark.read.parquet(where)
+        return [near_dedup.drop_near_duplicates(many), mixing.keep_mixed(many), with_uid(many).select(UID, "doc_id")]
+
+    want = [sorted(map(tuple, r.collect()), key=repr) for r in results()]
+    assert len({u for u, _ in want[2]}) == docs.count()
+    built = results()
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "30k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "13")
+        assert [sorted(map(tuple, r.collect()), key=repr) for r in built] == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_file_bits_tell_files_apart():
+    files = [f"file:///data/part-{i:05d}.parquet" for i in range(5000)]
+    bits, seed = file_bits(files)
+    assert len({path_hash(f, seed) >> (64 - bits) for f in files}) == 5000 and bits < 28
+    assert path_hash("file:/a/b", 1) == path_hash("file:///a/b", 1)
 
 
 def test_word_windows_match_slices():
