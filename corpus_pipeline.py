@@ -7,34 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import decontaminate, mixing, near_dedup, token_output, toxicity
-from graphloom.llm.common import UID, stable, table, with_uid
+from graphloom.llm.common import table
 from graphloom.storage import scratch
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops toxic documents; the lexicon is learned from the labelled rows of docs."""
+    """Drops toxic documents; the lexicon is learned from the labelled rows of docs. Null and empty
+    texts and repeated rows that aren't toxic stay; without labels the built-in list decides; an
+    empty table stays empty."""
     return toxicity.drop_toxic(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
+    """Keeps one document of each group of near copies: the one of the smallest doc_id, then the
+    first row. Null and blank texts are in no group and stay; an empty table stays empty."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a test string of the benchmark."""
+    """Drops documents that hold a test string of the benchmark. Null and empty texts and repeated
+    rows without one stay; an empty benchmark drops nothing; an empty table stays empty."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that fit the sources' token budgets."""
-    keyed = with_uid(stable(docs))
-    chosen = mixing.select_rows(keyed).select(UID)
-    return keyed.join(chosen, UID, "left_semi").select(*[keyed[c] for c in docs.columns])
+    """Keeps the documents that fit the sources' token budgets. Null and empty texts have no tokens
+    and go; repeated rows count each; a null source is a source; an empty table stays empty."""
+    return mixing.keep_mixed(docs)
 
 
 def token_output_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids, token counts and directly addressable codes."""
+    """The documents' ids, token counts and directly addressable codes, a row for each row of docs;
+    null and empty texts have 0 tokens and an empty code."""
     return token_output.token_output(docs)
 
 
