@@ -73,10 +73,6 @@ def file_bits(files: list[str]) -> tuple[int, int]:
         bits += 1
 
 
-def stable(df: DataFrame) -> DataFrame:
-    return df
-
-
 def with_uid(df: DataFrame, name: str = UID) -> DataFrame:
     """Adds a key of the physical row, so that repeated and null doc_ids stay separate rows.
 
