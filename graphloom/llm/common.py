@@ -40,6 +40,12 @@ def every(columns: list[str]) -> list[F.Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
+def numbered(df: DataFrame, last: F.Column) -> DataFrame:
+    """df with columns c0, c1 and so on, and last behind them: what is mapped in Arrow batches then has
+    no names that clash or can't be resolved. toDF(*df.columns) gives the names back."""
+    return df.select(*[c.alias(f"c{i}") for i, c in enumerate(every(df.columns))], last.alias("last"))
+
+
 def _scan(df: DataFrame) -> bool:
     """Whether df is a scan of Parquet files, or projections and filters of one."""
     plan = df._jdf.queryExecution().analyzed()

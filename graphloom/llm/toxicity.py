@@ -5,8 +5,9 @@ strengths that match the beginnings of words). Four transducers rewrite and weig
 clause: negation turns an insult or threat within its scope into a harmless symbol, reported speech
 marks what follows it, a target (a person addressed or spoken of) turns a threat verb into a threat
 and strengthens insults, and the last one weighs what is left. They are composed into one machine
-once, and only clauses that hold an insult or a threat verb are run through it. A document's score
-is the sum of its clauses' scores.
+once, and only clauses that hold an insult or a threat verb are run through it. A document is toxic if
+one clause scores THRESHOLD, or the clauses of some stretch of REACH words do so together. What else
+the document holds, before, after or between, makes no difference, however long it is.
 
 Insult roots come from the labelled rows: beginnings of words that are much more frequent in toxic
 than in other documents, by a likelihood-ratio test. Of either label at most SAMPLE_TOXIC and
@@ -24,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Words, prefix_hash
+from graphloom.llm.common import Words, numbered, prefix_hash
 
 SAMPLE_TOXIC = 4_000
 SAMPLE_CLEAN = 12_000
 THRESHOLD = 3.0
-#: a document's score must also exceed this for each hundred words, strong insults apart
-DENSITY = 0.5
+#: words within which the scores of clauses add up
+REACH = 50
 LEAST_RATIO, LEAST_EVIDENCE = 2.0, 25.0
 SIZES = range(4, 9)
 
@@ -223,8 +224,9 @@ class Scorer:
             state = self.next[state][s]
         return score
 
-    def score(self, column: pa.Array) -> list[tuple[int, float, int, float, int]]:
-        """(row, score, clauses that score, the largest clause, words) of the rows with a scoring clause."""
+    def score(self, column: pa.Array) -> list[tuple[int, float, int, float]]:
+        """(row, score, clauses that score, the largest sum within REACH words) of the rows with a
+        scoring clause."""
         words = Words(column, letters_only=True)
         classes = self.classes(words)
         hits = np.flatnonzero(classes)
@@ -238,17 +240,19 @@ class Scorer:
             data = raw.tobytes()
             a, b = words.first[row], words.first[row + 1]
             cuts = np.r_[a, np.searchsorted(words.start[a:b], stops) + a, b]
-            scores = []
-            for k in np.unique(np.searchsorted(cuts, own, "right")):
-                scores.append(self.clause(data, words, lo, cuts[k - 1], cuts[k], classes))
-            good = [s for s in scores if s > 0]
-            if good:
-                out.append((int(row), float(sum(good)), len(good), max(good), int(b - a)))
+            which, at = np.unique(np.searchsorted(cuts, own, "right"), return_index=True)
+            scores = np.array([self.clause(data, words, lo, cuts[k - 1], cuts[k], classes) for k in which.tolist()])
+            good = np.flatnonzero(scores > 0)
+            if len(good):
+                gained, places = scores[good], own[at[good]]
+                sums = np.r_[0.0, np.cumsum(gained)]
+                most = (sums[1:] - sums[np.searchsorted(places, places - REACH, "right")]).max()
+                out.append((int(row), float(sums[-1]), len(good), float(most)))
         return out
 
     def toxic(self, column: pa.Array) -> list[tuple[int, float, int]]:
         """(row, score, clauses) of the rows that are toxic."""
-        return [(row, s, n) for row, s, n, top, length in self.score(column) if s >= THRESHOLD and (top >= 3 or s >= DENSITY * length / 100 or s >= THRESHOLD + DENSITY * length / 20)]
+        return [(row, s, n) for row, s, n, most in self.score(column) if most >= THRESHOLD - 1e-9]
 
 
 _scorers: dict[tuple, Scorer] = {}
@@ -264,6 +268,7 @@ def _scorer(lexicon: tuple) -> Scorer:
 def toxic_documents(docs: DataFrame, lexicon: dict[str, int]) -> DataFrame:
     """(doc_id, score, clauses, toxic) of the rows that are toxic, toxic being always true.
 
+    The score is the sum over all clauses; a score of just THRESHOLD within REACH words is toxic.
     Null and empty texts are never toxic. Repeated rows are reported each, null doc_ids stay null,
     an empty table gives no rows. Whole texts are scored; other columns are not read.
     """
@@ -281,7 +286,11 @@ def toxic_documents(docs: DataFrame, lexicon: dict[str, int]) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, lexicon: dict[str, int]) -> DataFrame:
-    """The rows of docs, all columns kept, that aren't toxic. No shuffle."""
+    """The rows of docs, all columns kept, that aren't toxic. No shuffle.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table stays empty. Columns
+    may have any names.
+    """
     given = tuple(sorted(lexicon.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,4 +303,5 @@ def drop_toxic(docs: DataFrame, lexicon: dict[str, int]) -> DataFrame:
                 keep[[r for r, _, _ in own.toxic(part.column(n))]] = False
                 yield part.select(range(n)).filter(pa.array(keep))
 
-    return docs.withColumn("__gl_lower", F.lower(F.col("text").cast("string"))).mapInArrow(run, docs.schema)
+    given_rows = numbered(docs, F.lower(F.col("text").cast("string")))
+    return given_rows.mapInArrow(run, given_rows.drop("last").schema).toDF(*docs.columns)
