@@ -17,10 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import numbered
+from graphloom.storage import cut
+
 WINDOW = 13
 LEAST_WORDS = 5
-#: characters of benchmark text that one pass over the documents searches for; more take more passes
-PASS_CHARS = 16_000_000
+#: characters of benchmark text that one pass over the documents searches for; more take more passes.
+#: A worker's tables of so many take some 160 MB
+PASS_CHARS = 1_000_000
 _HEAD = 4
 RESULT = "doc_id long, item_id long, matched long, windows long"
 
@@ -144,12 +148,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     test string; matched counts the item's distinct test strings found, windows those it has.
 
     Null and empty texts match nothing; items of fewer than least_words words are no evidence and
-    are skipped. Repeated rows and items are reported each; null ids stay null. An empty table on
-    either side gives no rows. Whole texts are searched; other columns are not read. The benchmark
-    is broadcast in parts of a bounded size, each searched in a pass of its own.
+    are skipped. Repeated rows and items are reported each, items of equal texts too; null ids stay
+    null. An empty table on either side gives no rows. Whole texts are searched; other columns are
+    not read. The benchmark is broadcast in parts of a bounded size, each searched in a pass of its
+    own; if there are several, the normalised texts are written once, and each pass reads them.
     """
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised("text").alias("plain"))
+    parts = passes(benchmark, pass_chars)
+    if len(parts) > 1:
+        plain = cut(plain, "plain")
     out = None
-    for sent in passes(benchmark, pass_chars):
+    for sent in parts:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = _matcher(sent, window, least_words)
@@ -161,25 +170,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
                         rows += [(doc.as_py(), own.items[k], len(hits), own.sizes[k]) for k, hits in own.matches(text).items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 4, ["doc_id", "item_id", "matched", "windows"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised("text").alias("plain")).mapInArrow(run, RESULT)
+        part = plain.mapInArrow(run, RESULT)
+        if len(parts) > 1:  # one pass after the other, so that a worker has the tables of one
+            part = cut(part, "matches")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS, pass_chars: int = PASS_CHARS) -> DataFrame:
-    """The rows of docs, all columns kept, that contaminated() doesn't report. No shuffle."""
-    plain = "__gl_plain"
-    for sent in passes(benchmark, pass_chars):
+    """The rows of docs, all columns kept, that contaminated() doesn't report. No shuffle.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty benchmark drops nothing;
+    an empty table stays empty. Columns may have any names.
+    """
+    parts = passes(benchmark, pass_chars)
+    left = numbered(docs, normalised("text"))
+    if len(parts) > 1:
+        left = cut(left, "plain")
+    for sent in parts:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = _matcher(sent, window, least_words)
             for batch in batches:
                 texts = batch.column(batch.num_columns - 1)
-                keep = [not t.is_valid or next(own.search.find(f" {t.as_py()} "), None) is None for t in texts]
-                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep, pa.bool_()))
+                yield batch.filter(pa.array([not t.is_valid or next(own.search.find(f" {t.as_py()} "), None) is None for t in texts], pa.bool_()))
 
-        docs = docs.withColumn(plain, normalised("text")).mapInArrow(run, docs.schema)
-    return docs
+        left = left.mapInArrow(run, left.schema)
+        if len(parts) > 1:
+            left = cut(left, "clean")
+    return left.drop("last").toDF(*docs.columns)
 
 
 def sql(window: int = WINDOW, least_words: int = LEAST_WORDS) -> str:
