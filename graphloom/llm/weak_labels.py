@@ -3,8 +3,8 @@
 Overlapping heuristic labellers each vote good, bad or nothing on every document. Documents are
 counted by their pattern of votes over the whole corpus; expectation-maximisation over the counts
 estimates how often each labeller casts each vote on good and on bad documents, and with it each
-pattern's posterior. A hashed linear scorer is trained on the posteriors of at most SAMPLE
-documents chosen by hash, and scores all documents.
+pattern's posterior. A hashed linear scorer is trained on the posteriors of at most SAMPLE different
+texts chosen by hash, each counted once, however many copies it has, and scores all documents.
 """
 
 from __future__ import annotations
@@ -65,8 +65,13 @@ def votes(column: pa.Array) -> np.ndarray:
     pairs = distinct_of(windows(h, 2)[inside], rows[:-1][inside])[0] / np.maximum(1, words.count - 1)
     # distinct words grow slower than words: about as the power 0.8 of their number
     variety = distinct / n**0.8
-    mean = (words.end - words.start).astype(float)
-    word_length = np.bincount(rows, mean, n_rows) / n
+    # characters, not bytes; where most stand without spaces, each is a word and none too short or long
+    begins = (data & 0xC0) != 0x80
+    until = np.r_[0, np.cumsum(begins)]
+    word_length = np.bincount(rows, (until[words.end] - until[words.start]).astype(float), n_rows) / n
+    wide = np.bincount(row_of_byte[begins & (data >= 0xE3) & (data <= 0xE9)], minlength=n_rows)
+    spaced = wide <= 0.3 * np.bincount(row_of_byte[begins], minlength=n_rows)
+    count = words.count + wide
     line_ends = np.flatnonzero(data == 10)
     starts = np.unique(np.r_[offsets[:-1][size > 0], line_ends[line_ends + 1 < len(data)] + 1])
     line_row = np.searchsorted(offsets, starts, "right") - 1
@@ -84,11 +89,11 @@ def votes(column: pa.Array) -> np.ndarray:
     vote(1, signs < 0.04, some & (signs > 0.08))
     vote(2, repeats < 0.02, repeats > 0.1)
     vote(3, variety > 1.2, variety < 0.6)
-    vote(4, (word_length > 3.5) & (word_length < 7), (word_length < 2.5) | (word_length > 8.5))
+    vote(4, spaced & (word_length > 3.5) & (word_length < 7), spaced & ((word_length < 2.5) | (word_length > 8.5)))
     vote(5, capitals < 0.05, some & (capitals > 0.2))
     vote(6, dup < 0.05, dup > 0.3)
     vote(7, bars < 0.002, bars > 0.03)
-    vote(8, words.count >= 50, words.count < 3)
+    vote(8, count >= 50, count < 3)
     vote(9, some & (most < 0.12 * n), some & (most > 0.25 * n))
     vote(10, some & (pairs > 0.8), some & (pairs < 0.5))
     out[size == 0] = -1
@@ -142,11 +147,15 @@ def vote_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "pattern long, docs long").groupBy("pattern").agg(F.sum("docs").alias("docs"))
 
 
-def sample_texts(docs: DataFrame, total: int, sample: int) -> pa.Table:
-    """About sample documents by the hash of text, as (text)."""
-    share = min(1.0, 1.1 * sample / max(1, total))
-    picked = docs.where("text is not null").select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
-    return picked.orderBy(F.xxhash64("text", F.lit(5))).limit(sample).toArrow()
+def sample_texts(docs: DataFrame, sample: int) -> pa.Table:
+    """sample different texts of the smallest hashes, as (text); all of them, if there are fewer.
+    Copies are folded where they are read, so a text of many copies is one row of a few."""
+    texts = docs.where("text is not null").select(F.col("text").cast("string").alias("text"), F.xxhash64("text", F.lit(5)).alias("mark"))
+    different = texts.agg(F.approx_count_distinct("mark")).first()[0]
+    # three times as many as are wanted pass, so that the estimate's error never leaves too few
+    share = min(1.0, 3 * sample / max(1, different))
+    picked = texts.where(F.pmod("mark", F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    return picked.groupBy("mark").agg(F.any_value("text").alias("text")).orderBy(F.pmod("mark", F.lit(1 << 40)), "mark").limit(sample).select("text").toArrow()
 
 
 def quality_classifier(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
@@ -167,7 +176,7 @@ def quality_classifier(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP
     def posterior(column: pa.Array) -> np.ndarray:
         return value[np.searchsorted(known, code(votes(column)))]
 
-    texts = sample_texts(docs, int(counts.sum()), sample).column("text").combine_chunks() if len(found) else pa.array([], pa.string())
+    texts = sample_texts(docs, sample).column("text").combine_chunks() if len(found) else pa.array([], pa.string())
     target = np.concatenate([posterior(texts.slice(i, 500)) for i in range(0, len(texts), 500)] or [np.zeros(0)])
     mixed = (target > 0.5).any() and (target <= 0.5).any()
     if mixed:
