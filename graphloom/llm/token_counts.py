@@ -1,9 +1,11 @@
 """Token totals by source, language and tokenizer version, kept up by signed deltas.
 
 A ledger is a folder that all executors share. Each committed batch writes the new totals as a
-table of its own and then one manifest file, created only if it isn't there: a manifest is what
-makes a batch count, so a job that dies half-way leaves the totals as they were, and a batch id
-that has a manifest is never applied again.
+table of its own and then one manifest, moved to its number by a rename that fails if that is taken:
+a manifest is what makes a batch count, so a job that dies half-way leaves the totals as they were.
+A mark named by the batch's hash says that it was applied; the last manifest's mark is made up for
+if a job died before it. So a batch costs a look at one manifest and one mark, however many were
+before, and is never applied again.
 """
 
 from __future__ import annotations
@@ -71,28 +73,50 @@ class Ledger:
         finally:
             stream.close()
 
-    def _create(self, name: str, content: dict) -> bool:
-        """Writes the file whole under another name, then renames it: false if the name is taken."""
-        draft, final = self._path(f"{self.path}/drafts/{uuid.uuid4().hex}"), self._path(f"{self.path}/{name}")
-        self._fs.mkdirs(final.getParent())
-        stream = self._fs.create(draft, False)
+    def _write(self, path, content: dict) -> None:
+        self._fs.mkdirs(path.getParent())
+        stream = self._fs.create(path, True)
         stream.write(bytearray(json.dumps(content).encode()))
         stream.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
+
+    def _create(self, name: str, content: dict) -> bool:
+        """Writes the file whole under another name, then moves it: false if the name is taken."""
+        draft, final = self._path(f"{self.path}/drafts/{uuid.uuid4().hex}"), self._fs.makeQualified(self._path(f"{self.path}/{name}"))
+        self._write(draft, content)
+        self._fs.mkdirs(final.getParent())
+        jvm = self.spark._jvm
+        nothing = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(self._fs.makeQualified(draft), final, nothing)
+        except Exception as e:
             self._fs.delete(draft, False)
-            return False
+            if "FileAlreadyExistsException" in str(e):
+                return False
+            raise
         return True
 
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, docs, tokens) of the last commit."""
+    def _last(self) -> tuple[int, dict | None]:
+        """How many commits there are, and the manifest of the last one, whose mark is there then."""
         names = self._names("commits")
         if not names:
+            return 0, None
+        last = self._read(names[-1])
+        mark = self._path(f"{self.path}/applied/{last['key']}")
+        if not self._fs.exists(mark):
+            self._write(mark, {"commit": names[-1]})
+        return len(names), last
+
+    def totals(self) -> DataFrame:
+        """(source, lang, tokenizer, docs, tokens) of the last commit."""
+        _, last = self._last()
+        if last is None:
             return self.spark.createDataFrame([], TOTALS)
-        return self.spark.read.schema(TOTALS).parquet(self._read(names[-1])["totals"])
+        return self.spark.read.schema(TOTALS).parquet(last["totals"])
 
     def applied(self, batch_id: str) -> bool:
-        key = hashlib.sha256(batch_id.encode()).hexdigest()
-        return any(self._read(n)["key"] == key for n in self._names("commits"))
+        self._last()
+        return self._fs.exists(self._path(f"{self.path}/applied/{hashlib.sha256(batch_id.encode()).hexdigest()}"))
 
     def apply(self, batch_id: str, deltas: DataFrame) -> bool:
         """Adds the deltas (KEYS, docs, tokens) to the totals, unless the batch has been applied.
@@ -100,17 +124,18 @@ class Ledger:
         Null keys are keys of their own; null amounts count as 0; groups whose totals are both 0
         go; an empty batch is committed too. Of two writers at once one fails and may be run again.
         """
-        names = self._names("commits")
-        key = hashlib.sha256(batch_id.encode()).hexdigest()
-        if any(self._read(n)["key"] == key for n in names):
+        if self.applied(batch_id):
             return False
+        n, last = self._last()
         # each delta frame is summed map-side; only group totals are shuffled
         summed = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        merged = self.totals().unionByName(summed).groupBy(*KEYS).agg(F.coalesce(F.sum("docs"), F.lit(0)).cast("long").alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"))
+        before = self.spark.createDataFrame([], TOTALS) if last is None else self.spark.read.schema(TOTALS).parquet(last["totals"])
+        merged = before.unionByName(summed).groupBy(*KEYS).agg(F.coalesce(F.sum("docs"), F.lit(0)).cast("long").alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"))
         where = f"{self.path}/totals/{uuid.uuid4().hex}"
         merged.where((F.col("docs") != 0) | (F.col("tokens") != 0)).write.parquet(where)
-        if not self._create(f"commits/{len(names):010d}", {"key": key, "batch": batch_id, "totals": where}):
+        if not self._create(f"commits/{n:010d}", {"key": hashlib.sha256(batch_id.encode()).hexdigest(), "batch": batch_id, "totals": where}):
             raise RuntimeError("another writer committed at the same time; apply the batch again")
+        self._last()
         return True
 
 
