@@ -18,7 +18,7 @@ def prose(seed, n=120):
     return " ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(n))
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node string, keep int, n_tokens int, bucket string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node string, keep int, n_tokens int, bucket string, __gl_uid string, `__GL_plain` int, __gl_lower string, `a.b c` long"
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +29,7 @@ def rows():
         (3, "", "en", "a", 0), (4, None, "en", "a", None), (5, "x", "en", "b", 1), (6, "   \n \n\n", "en", "b", 1), (7, prose(3, 60_000), "de", "c", 9),
         (8, prose(4) + "\n" + prose(5), "en", "c", 9), (9, "word " * 3000, "en", "a", 1), (10, "!!! ??? ...", "fr", "b", 2), (11, "töricht naïve 東京 " * 40, "de", "c", 2),
     ]
-    return [(*r, 0.5, "n", 1, 2, "b") for r in rows]
+    return [(*r, 0.5, "n", 1, 2, "b", "u", 3, "l", 4) for r in rows]
 
 
 @pytest.fixture(scope="module")

@@ -72,6 +72,11 @@ def test_ledger_applies_each_batch_once(spark):
     assert ledger.apply("b4", token_counts.inserts(spark.createDataFrame([(1, "a", "en", "v2", 8)], row)))
     assert ledger.applied("b3") and not ledger.applied("b9")
     again = token_counts.Ledger(spark, ledger.path)
+    n, last = again._last()
+    assert n == 4 and last["batch"] == "b4" and not again._create("commits/0000000003", {})
+    # a job that died between its manifest and its mark counts as applied
+    again._fs.delete(again._path(f"{again.path}/applied/{last['key']}"), False)
+    assert not again.apply("b4", token_counts.inserts(first))
     assert sorted(map(tuple, again.totals().collect())) == [("a", "en", "v1", 1, 10), ("a", "en", "v2", 1, 8), ("b", "en", "v1", 1, 6)]
 
 
@@ -154,8 +159,84 @@ def test_every_word_of_shared_passages_is_reported(spark):
     assert need and all(v <= covered[i] for i, v in need.items())
 
 
+def test_packed_windows_round_trip():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        n = int(rng.integers(1, 2000))
+        rows = np.sort(rng.integers(0, 40, n))
+        at = np.concatenate([np.sort(rng.choice(200_000, (rows == r).sum(), replace=False)) for r in np.unique(rows)])
+        ids = np.unique(rng.integers(0, 1 << int(rng.integers(8, 62)), 400))
+        uid = np.r_[ids, ids[-1] + 1 + np.arange(40)][rows]
+        h, bucket = rng.integers(0, 1 << 63, n).astype(np.uint64), rng.integers(0, 7, n).astype(np.int32)
+        got = [(b, *map(int, x)) for b, *blobs in substring_dedup._packed(bucket, h, uid, at) for x in zip(*substring_dedup._unpacked(*blobs))]
+        cut_off = np.uint64((1 << 8 * substring_dedup.KEY_BYTES) - 1)
+        assert sorted(got) == sorted((int(b), int(k & cut_off), int(u), int(a)) for b, k, u, a in zip(bucket, h, uid, at))
+
+
+def test_passages_against_brute_force_over_batches(spark):
+    """Every window of a later row lies in a repeat with the first row that has it, and repeats are
+    maximal, however the rows fall into batches; boilerplate and periodic texts included."""
+    r = random.Random(31)
+    parts = [[f"p{k}w{i}" for i in range(r.randint(20, 120))] for k in range(12)] + [["la"] * 130]
+    rows = []
+    for k in range(120):
+        row = []
+        for _ in range(r.randint(1, 4)):
+            part = r.choice(parts)
+            a = r.randrange(len(part))
+            row += part[a // 3 :] if r.random() < 0.7 else part[: a + 1]
+            row += [f"x{k}y{i}" for i in range(r.randint(0, 3))]
+        rows.append((k, " ".join(row)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    text = {k: t.split() for k, t in rows}
+    held = set()
+    for x in got:
+        a, b, e, f = text[x.doc_id], text[x.ref_doc_id], x.start + x.words, x.ref_start + x.words
+        assert x.ref_doc_id < x.doc_id and a[x.start : e] == b[x.ref_start : f] and len(a[x.start : e]) == x.words >= 50
+        assert x.start == 0 or x.ref_start == 0 or a[x.start - 1] != b[x.ref_start - 1]
+        assert e == len(a) or f == len(b) or a[e] != b[f]
+        held |= {(x.doc_id, x.ref_doc_id, i) for i in range(x.start, e - 49)}
+    first = {}
+    for k, w in text.items():
+        for i in range(len(w) - 49):
+            d = first.setdefault(tuple(w[i : i + 50]), k)
+            assert d == k or (k, d, i) in held
+    assert len(got) == len(set(map(tuple, got))) and len(got) > 60
+
+
+def test_hot_passage_costs_no_pairs(spark):
+    """One passage in 100,000 rows: each but the first is linked to the first, once."""
+    passage = " ".join(f"h{i}" for i in range(60))
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a"), F.col("id"), F.lit(" " + passage + " z"), F.col("id")).alias("text"))
+    got = substring_dedup.repeated_passages(df)
+    row = got.agg(F.count("*"), F.countDistinct("doc_id"), F.countDistinct("ref_doc_id"), F.min("words"), F.max("words"), F.min("start"), F.max("ref_start")).first()
+    assert tuple(row) == (99_999, 99_999, 1, 60, 60, 1, 1)
+
+
 # 4
 
+def test_votes_count_characters():
+    """Plain prose in scripts of more bytes a letter, or without spaces, gets no bad vote for lengths."""
+    russian = "Вечером мы вышли из дома и долго гуляли вдоль тихой реки, где старые деревья склонялись над водой. " * 4
+    chinese = "傍晚我们离开家，沿着安静的河边走了很久，老树在水面上低垂。" * 6
+    v = weak_labels.votes(pa.array([russian, chinese]))
+    assert (v[:, [weak_labels.LABELLERS.index("word_length"), weak_labels.LABELLERS.index("length")]] >= 0).all()
+
+
+def test_sample_is_of_different_texts(spark):
+    docs = spark.read.parquet(f"{SF2}/documents.parquet").select("text")
+    mark = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 40))
+    low = docs.orderBy(mark).limit(1).crossJoin(spark.range(20_000)).select("text")
+    both = docs.unionByName(low)
+    got = weak_labels.sample_texts(both, 200).column("text").to_pylist()
+    assert len(got) == len(set(got)) == 200 and got == weak_labels.sample_texts(docs, 200).column("text").to_pylist()
+    assert len(weak_labels.sample_texts(both, 10**6)) == docs.distinct().count()
+
+
 def test_em_recovers_labellers():
     r = np.random.default_rng(3)
     n, truth = 40_000, None
@@ -283,6 +364,16 @@ def test_grammar(text, hit):
     assert bool(toxicity.Scorer(toxicity.builtin()).toxic(pa.array([text]))) is hit
 
 
+def test_padding_hides_nothing():
+    clauses = "you idiot. what a moron."
+    scorer = toxicity.Scorer({"idiot": 2, "moron": 2})
+    harmless = " The weather was fine and we walked along the river." * 140
+    for text in (clauses, clauses + harmless, harmless + " " + clauses, harmless + " " + clauses + harmless):
+        assert [x[0] for x in scorer.toxic(pa.array([text.lower()]))] == [0]
+    apart = ("you idiot." + harmless + " what a moron.").lower()
+    assert not scorer.toxic(pa.array([apart])) and scorer.score(pa.array([apart]))[0][2] == 2
+
+
 def test_composition_equals_cascade():
     r = random.Random(1)
     parts = [toxicity.negation(), toxicity.reported(), toxicity.targeted(), toxicity.weighing()]
