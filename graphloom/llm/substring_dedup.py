@@ -35,7 +35,7 @@ from graphloom.storage import cut
 LEAST = 50
 KEY_BYTES = 7
 #: bytes of text of which windows are linked and packed at once
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 RESULT = "doc_id long, start long, words long, ref_doc_id long, ref_start long"
 
 #: window place, number of windows, row and window place of what they are linked to
