@@ -90,3 +90,17 @@ def doc_summary(text: Column) -> Column:
 def doc_body(text: Column) -> Column:
     """Text before the first blank line or tag."""
     return F.trim(F.regexp_extract(text, r"(?s)^(.*?)(?=\n\s*\n|\n\s*@\w|$)", 1))
+
+
+def shell_quoted(text: Column) -> Column:
+    """A word as a shell takes it whole: as it is if its signs are harmless, else in single quotes."""
+    quoted = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\"'\"'")), F.lit("'"))
+    return F.when(text.rlike(r"^[A-Za-z0-9_./:@%+=,-]+$"), text).otherwise(quoted)
+
+
+def json_with(text: Column, key: str, value: Column) -> Column:
+    """A JSON object of texts with one key set; the others keep their order, the key's place if it had
+    one is given up for the last. No object at all counts as an empty one."""
+    old = F.coalesce(F.from_json(text, "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>"))
+    rest = F.map_filter(old, lambda k, v: k != key)
+    return F.to_json(F.map_concat(rest, F.create_map(F.lit(key), value.cast("string"))))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.evidence import worth_increment
+from graphloom.operators.hierarchy import implementors
+from graphloom.schema import METHOD_KINDS, TYPE_KINDS
 from graphloom.storage import cut
 
 
@@ -30,7 +33,7 @@ def file_changes(cache: DataFrame, now: DataFrame, verify: bool = False) -> Data
     return a.join(b, "source_file", "full").select("source_file", change.alias("change"))
 
 
-CONTRACT = ("label", "kind", "qualified_name", "package", "scope", "metadata")
+CONTRACT = ("kind", "qualified_name", "package", "module", "scope", "metadata")
 
 
 def symbol_delta(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -57,12 +60,14 @@ def impacted_files(edges: DataFrame, ids: DataFrame, externals: DataFrame | None
     return out.where("source_file is not null").distinct()
 
 
-def impact_closure(dependencies: DataFrame, changed: DataFrame, total: int, most: int | None = None, rounds: int = 50) -> DataFrame | None:
+def impact_closure(dependencies: DataFrame, changed: DataFrame, total: int, most: int | None = None) -> DataFrame | None:
     """(source_file, round): files to redo, until no new ones come; None where a full run is cheaper."""
     frontier = cut(changed.select("source_file").distinct())
     out = frontier.withColumn("round", F.lit(0))
     count = frontier.count()
-    for r in range(1, rounds + 1):
+    r = 0
+    while True:
+        r += 1
         if not worth_increment(count, total, cap=most):
             return None
         next_files = dependencies.join(frontier.withColumnRenamed("source_file", "depends_on_file"), "depends_on_file", "left_semi").select("source_file").distinct()
@@ -75,6 +80,55 @@ def impact_closure(dependencies: DataFrame, changed: DataFrame, total: int, most
     return out
 
 
+def delta_targets(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(target, how): what others may refer to of the nodes that a change removes, adds or changes.
+
+    exact: removed and changed nodes, and the old methods of the same module, scope and qualified
+    name as an added or removed one, for a call may now choose otherwise; owner: changed types;
+    implementor: interfaces that a method comes to or leaves; external_prefix and external: names
+    that added or changed nodes now answer to."""
+    delta = symbol_delta(old, new)
+    kind = ["id", "kind", "module", "scope", "qualified_name"]
+    own = delta.join(new.select(*kind).unionByName(old.join(new, "id", "left_anti").select(*kind)), "id")
+    method, declared = F.col("kind").isin(*METHOD_KINDS), F.col("kind").isin(*TYPE_KINDS)
+    come_or_go = own.where(method & F.col("change").isin("added", "removed"))
+    family = ["module", "scope", "qualified_name"]
+    siblings = old.where(method).join(come_or_go.select(*family).distinct(), family, "left_semi").select("id")
+    owners = come_or_go.select(F.substring_index("id", "#", 1).alias("id")).distinct()
+    after = new.select("id", "kind").unionByName(old.join(new, "id", "left_anti").select("id", "kind"))
+    faces = after.where("kind = 'INTERFACE'").join(owners, "id", "left_semi").select("id")
+    # a type counts as changed if it was one before or is one now
+    types = own.where("change = 'contract'").where(declared).select("id").unionByName(old.where(declared).join(own.where("change = 'contract'").select("id"), "id", "left_semi").select("id"))
+    now = own.where("change in ('added', 'contract')")
+    parts = [
+        own.where("change in ('removed', 'contract')").select("id").unionByName(siblings).select(F.col("id").alias("target"), F.lit("exact").alias("how")),
+        types.select(F.col("id").alias("target"), F.lit("owner").alias("how")),
+        faces.select(F.col("id").alias("target"), F.lit("implementor").alias("how")),
+        now.where(method).select(F.concat("qualified_name", F.lit("(")).alias("target"), F.lit("external_prefix").alias("how")),
+        now.where(~method).select(F.col("qualified_name").alias("target"), F.lit("external").alias("how")),
+        now.where(declared).select(F.concat("qualified_name", F.lit("#")).alias("target"), F.lit("external_prefix").alias("how")),
+    ]
+    return reduce(DataFrame.unionByName, parts).where("target is not null").distinct()
+
+
+def files_of_targets(edges: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source_file) that delta_targets() may change: files of edges to exact targets, to owners or
+    their members, of all that implement or inherit from an interface, directly or not, and of
+    external edges to a name or to what begins with a prefix. A prefix ends in ( or #, so that it is
+    looked up by equality with the part of the name up to there."""
+    of = lambda how: targets.where(F.col("how") == how).select("target")
+    inner, outer = edges.where("not is_external"), edges.where("is_external")
+    exact = inner.join(of("exact").withColumnRenamed("target", "target_id"), "target_id", "left_semi")
+    owner = inner.withColumn("__o", F.substring_index("target_id", "#", 1)).join(of("owner").withColumnRenamed("target", "__o"), "__o", "left_semi")
+    name = F.col("external_target_fqn")
+    upto = F.explode(F.array(F.concat(F.substring_index(name, "(", 1), F.lit("(")), F.concat(F.substring_index(name, "#", 1), F.lit("#"))))
+    prefix = outer.where(name.contains("(") | name.contains("#")).withColumn("__p", upto).where(name.startswith(F.col("__p"))).join(of("external_prefix").withColumnRenamed("target", "__p"), "__p", "left_semi")
+    same = outer.join(of("external").withColumnRenamed("target", "external_target_fqn"), "external_target_fqn", "left_semi")
+    below = implementors(edges, of("implementor").withColumnRenamed("target", "id"), recursive=True)
+    files = nodes.join(below.select("id"), "id", "left_semi").select("source_file")
+    return reduce(DataFrame.unionByName, [x.select("source_file") for x in (exact, owner, prefix, same)], files).where("source_file is not null").distinct()
+
+
 def replace_files(old: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
     """old without the rows of files, and new."""
     return old.join(files.select("source_file").distinct(), "source_file", "left_anti").select(*old.columns).unionByName(new.select(*old.columns))

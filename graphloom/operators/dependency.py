@@ -65,6 +65,13 @@ def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("relation", "is_external").agg(F.count("*").alias("n"))
 
 
+def file_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source_file, nodes, edges): how many each file has; a file of one kind only has 0 of the other."""
+    a = nodes.where("source_file is not null").groupBy("source_file").agg(F.count("*").alias("nodes"))
+    b = edges.where("source_file is not null").groupBy("source_file").agg(F.count("*").alias("edges"))
+    return a.join(b, "source_file", "full").na.fill(0, ["nodes", "edges"])
+
+
 def package_tallies(nodes: DataFrame) -> DataFrame:
     types, methods = F.col("kind").isin(*TYPE_KINDS), F.col("kind").isin(*METHOD_KINDS)
     return nodes.where("package is not null").groupBy("package").agg(F.count_if(types).alias("types"), F.count_if(methods).alias("methods"))
@@ -112,6 +119,30 @@ def chain_blocks(chain: DataFrame, nodes: DataFrame, edges: DataFrame, annotatio
     return out.na.fill(0, ["internal", "outbound", "inbound", "reads", "writes", "annotations"])
 
 
+def chain_block_lists(chain: DataFrame, nodes: DataFrame, edges: DataFrame, annotations: DataFrame, by: str = "class") -> DataFrame:
+    """Blocks of chain_blocks() with what they hold, each list sorted and without repeats: methods,
+    owning types, fields read and written, annotations, control contexts, and the documentation of
+    the block's first method, by depth and id."""
+    owner = F.substring_index(F.col("id"), "#", 1)
+    block = nodes.select("id", (owner if by == "class" else F.coalesce("package", F.lit(""))).alias("block"))
+    tied = chain.where("target_id is not null")
+    # a chain whose other end isn't known belongs to no block, as in chain_blocks()
+    both = tied.join(block.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(block.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    ends = both.select(F.col("source_id").alias("id"), "depth").unionByName(both.select(F.col("target_id").alias("id"), "depth"))
+    methods = ends.groupBy("id").agg(F.min("depth").alias("depth")).join(block, "id").join(nodes.select("id", "javadoc"), "id")
+    sorted_set = lambda c: F.array_sort(F.collect_set(c))
+    a = methods.groupBy("block").agg(sorted_set("id").alias("methods"), sorted_set(owner).alias("types"), F.min_by("javadoc", F.struct("depth", "id")).alias("javadoc"))
+    ids = methods.select("id", "block")
+    access = edges.where("relation in ('READS', 'WRITES')").join(ids.withColumnRenamed("id", "source_id"), "source_id")
+    b = access.groupBy("block").agg(sorted_set(F.when(F.col("relation") == "READS", F.col("target_id"))).alias("reads"), sorted_set(F.when(F.col("relation") == "WRITES", F.col("target_id"))).alias("writes"))
+    c = annotations.join(ids.withColumnRenamed("id", "node_id"), "node_id").groupBy("block").agg(sorted_set("annotation_fqn").alias("annotations"))
+    d = both.join(ids.withColumnRenamed("id", "source_id"), "source_id").groupBy("block").agg(sorted_set("context").alias("contexts"))
+    out = a.join(b, "block", "left").join(c, "block", "left").join(d, "block", "left")
+    none = F.array().cast("array<string>")
+    lists = ("methods", "types", "reads", "writes", "annotations", "contexts")
+    return out.select("block", *[F.coalesce(x, none).alias(x) for x in lists], "javadoc")
+
+
 def branch_slices(edges: DataFrame) -> DataFrame:
     """(source_id, context, branch, line, n): calls and field accesses of each method by control
     path, with the kind and line of the innermost branch."""

@@ -79,6 +79,23 @@ def resolution_failures(failures: DataFrame) -> DataFrame:
     return own.groupBy("source_file", "module", "scope", "phase", "reason", "severity", "symbol", "line").agg(F.count("*").alias("occurrences"))
 
 
+def bounded_failures(failures: DataFrame, most: int = 5000) -> DataFrame:
+    """resolution_failures() of at most most groups, those of most occurrences first, then by place;
+    all others are one more row, DIAGNOSTIC_LIMIT_REACHED, so that no occurrence is lost."""
+    groups = resolution_failures(failures)
+    order = [F.desc("occurrences"), "source_file", "phase", "reason", "symbol", "line", "module", "scope"]
+    kept = groups.orderBy(*order).limit(most)
+    total = groups.agg(F.count("*").alias("n"), F.sum("occurrences").alias("o")).crossJoin(F.broadcast(kept.agg(F.sum("occurrences").alias("k")))).where(F.col("n") > most)
+    given = {"module": F.lit("."), "scope": F.lit("MAIN"), "phase": F.lit("RESOLUTION"), "reason": F.lit("DIAGNOSTIC_LIMIT_REACHED"), "severity": F.lit("info"), "line": F.lit(0), "occurrences": F.col("o") - F.col("k")}
+    over = total.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in groups.schema])
+    return kept.unionByName(over)
+
+
+def unresolved(diagnostics: DataFrame) -> DataFrame:
+    """(unresolved): occurrences of all diagnostics of resolution."""
+    return diagnostics.where(F.lower("phase").startswith("resol")).agg(F.coalesce(F.sum("occurrence_count"), F.lit(0)).cast("long").alias("unresolved"))
+
+
 def ewma(values: list[float], alpha: float = 0.25) -> float | None:
     """Exponentially weighted mean, oldest first."""
     out = None

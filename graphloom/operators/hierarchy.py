@@ -36,8 +36,9 @@ def implementors(edges: DataFrame, seeds: DataFrame, recursive: bool = False) ->
     closure with its least depth."""
     down = edges.where("relation in ('IMPLEMENTS', 'INHERITS') and not is_external").select(F.col("target_id").alias("up"), F.col("source_id").alias("id"))
     frontier = cut(seeds.select("id").distinct())
-    visited, out = [frontier], []
-    for d in range(1, (MAX_DEPTH if recursive else 1) + 1):
+    visited, out, d = [frontier], [], 0
+    while recursive or d == 0:
+        d += 1
         level = down.join(frontier.withColumnRenamed("id", "up"), "up", "left_semi").select("id").distinct()
         if recursive:
             level = level.join(reduce(DataFrame.unionByName, visited), "id", "left_anti")
@@ -49,17 +50,19 @@ def implementors(edges: DataFrame, seeds: DataFrame, recursive: bool = False) ->
     return reduce(DataFrame.unionByName, out)
 
 
-def bean_tree(nodes: DataFrame, edges: DataFrame, name: str, prop: str | None = None, most: int = 20, depth: int = 10) -> DataFrame:
+def bean_tree(nodes: DataFrame, edges: DataFrame, name: str, prop: str | None = None, most: int = 20) -> DataFrame:
     """(bean, path, id, refers_to): up to most beans whose label holds name, the exact one first,
-    and what they configure, by paths; a property keeps that one of the first level only."""
+    and what they configure, by paths of any length; what is on its own path already ends there. A
+    property keeps that one of the first level only."""
     beans = nodes.where("kind = 'BEAN'").where(F.col("label").ilike(f"%{name}%")).orderBy(F.when(F.col("label") == name, 0).otherwise(1), "label", "id").limit(most).select("id")
     below = edges.where("relation in ('CONFIGURES', 'XML_CONTAINS') and not is_external").select(F.col("source_id").alias("above"), F.col("target_id").alias("id"))
     label = nodes.select("id", "label")
-    level = beans.select(F.col("id").alias("bean"), "id", F.lit("").alias("path"))
+    level = cut(beans.select(F.col("id").alias("bean"), "id", F.lit("").alias("path"), F.array("id").alias("trail")))
     out = [level]
-    for d in range(depth):
-        level = level.withColumnRenamed("id", "above").join(below, "above").join(label, "id").select("bean", "id", F.concat("path", F.lit("/"), "label").alias("path"))
-        if d == 0 and prop is not None:
+    while True:
+        level = level.withColumnRenamed("id", "above").join(below, "above").where(~F.array_contains("trail", F.col("id"))).join(label, "id")
+        level = level.select("bean", "id", F.concat("path", F.lit("/"), "label").alias("path"), F.array_append("trail", F.col("id")).alias("trail"))
+        if len(out) == 1 and prop is not None:
             level = level.where(F.col("path") == f"/{prop}")
         level = cut(level)
         if level.isEmpty():

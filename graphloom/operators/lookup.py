@@ -71,6 +71,15 @@ def resolve_method(nodes: DataFrame, ref: str, module: str | None = None, scope:
     return own.where(F.col("label") == ref)
 
 
+def resolve_node(nodes: DataFrame, ref: str, module: str | None = None, scope: str = "MAIN") -> DataFrame:
+    """All candidates of a name: methods first if it holds # or (, else types, else methods. The
+    first by id is the answer where one is wanted."""
+    first = [resolve_method(nodes, ref, module, scope)] if "#" in ref or "(" in ref else []
+    tiers = [*first, resolve_type(nodes, ref, module, scope), resolve_method(nodes, ref, module, scope)]
+    both = reduce(DataFrame.unionByName, [t.select(*nodes.columns).withColumn("__tier", F.lit(i)) for i, t in enumerate(tiers)])
+    return both.join(F.broadcast(both.agg(F.min("__tier").alias("__tier"))), "__tier", "left_semi").select(*nodes.columns)
+
+
 def resolve_field(nodes: DataFrame, ref: str, module: str | None = None, scope: str = "MAIN") -> DataFrame:
     """Fields by key or symbol, Type.field or Type#field, then label."""
     own = in_scope(nodes.where("kind = 'FIELD'"), module, scope)
@@ -173,6 +182,11 @@ def branch_keyword(slices: DataFrame, edges: DataFrame, word: str) -> DataFrame:
     return slices.join(inner, ["source_id", "context"], "left").where(own | F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
+def get_meta(meta: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Key / value rows, all or those of keys."""
+    return meta.select("key", "value") if keys is None else meta.where(F.col("key").isin(*keys)).select("key", "value")
+
+
 def put_meta(meta: DataFrame, new: DataFrame) -> DataFrame:
     """Key / value rows with those of new in place of the old ones."""
     return meta.join(new.select("key"), "key", "left_anti").select("key", "value").unionByName(new.select("key", "value"))

@@ -50,16 +50,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def callback_bodies(nodes: DataFrame, edges: DataFrame, levels: int = 5) -> DataFrame:
+def callback_bodies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(outer, body): anonymous classes, lambdas, method references and the methods within them, by
-    containment below each real method. Containment is a tree, so pairs don't repeat."""
+    containment below each real method, however deep. Containment is a tree, so pairs don't repeat;
+    where it isn't, a pair comes once."""
     inner = nodes.where(F.col("kind").isin(*BODY_KINDS) | F.col("id").contains("$anon@") | F.col("id").contains("$lambda@")).select(F.col("id").alias("body"))
     holds = edges.where("relation = 'CONTAINS' and not is_external").select(F.col("source_id").alias("above"), F.col("target_id").alias("body")).join(inner, "body", "left_semi")
     real = nodes.where("kind = 'METHOD'").where(~F.col("id").contains("$anon@") & ~F.col("id").contains("$lambda@")).select(F.col("id").alias("above"))
-    level = holds.join(real, "above", "left_semi").select(F.col("above").alias("outer"), "body")
+    holds = cut(holds)
+    level = cut(holds.join(real, "above", "left_semi").select(F.col("above").alias("outer"), "body").distinct())
     out = [level]
-    for _ in range(levels - 1):
-        level = level.withColumnRenamed("body", "above").join(holds, "above").select("outer", "body")
+    while not level.isEmpty():
+        below = level.withColumnRenamed("body", "above").join(holds, "above").select("outer", "body").distinct()
+        level = cut(below.join(_union(out), ["outer", "body"], "left_anti"))
         out.append(level)
     return _union(out)
 
@@ -145,10 +148,12 @@ def external_callers(edges: DataFrame, found: DataFrame, depth: int = 1, callbac
     return _once(first.unionByName(above.withColumn("depth", F.col("depth") + 1)))
 
 
-def call_path(edges: DataFrame, starts: DataFrame, ends: DataFrame, depth: int = 5) -> DataFrame:
+def call_path(edges: DataFrame, starts: DataFrame, ends: DataFrame, depth: int = 5, bodies: DataFrame | None = None) -> DataFrame:
     """(depth, source_id, target_id, relation): a shortest path, calls before overrides, then by the
-    parent's and the node's id. A start is never an end of its own; no path gives no rows."""
-    calls = edges.where("relation = 'CALLS' and target_id is not null").select("source_id", "target_id", "relation", F.lit(0).alias("rank"))
+    parent's and the node's id. A start is never an end of its own; no path gives no rows. With bodies
+    (outer, body), calls made within callback bodies count as the outer method's."""
+    calls = edges.where("relation = 'CALLS' and target_id is not null")
+    calls = (calls if bodies is None else with_callbacks(calls, bodies)).select("source_id", "target_id", "relation", F.lit(0).alias("rank"))
     over = _overrides(edges).select(F.col("iface").alias("source_id"), F.col("impl").alias("target_id"), F.lit("OVERRIDES").alias("relation"), F.lit(1).alias("rank"))
     return _path(calls.unionByName(over), starts, ends, depth_of(depth, 5))
 

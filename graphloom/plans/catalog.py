@@ -116,9 +116,8 @@ def external_types(s, d):
 @query("""SELECT n.id FROM nodes n WHERE len(list_filter(regexp_extract_all(lower(concat_ws(' ', qualified_name, label, javadoc)), '[\\p{L}\\p{N}]+'), lambda x: starts_with(x, 'segm'))) > 0
 AND len(list_filter(regexp_extract_all(lower(concat_ws(' ', qualified_name, label, javadoc)), '[\\p{L}\\p{N}]+'), lambda x: x = 'building')) > 0""", ("nodes",))
 def search_fulltext(s, d):
-    n = X.nodes(s, d)
-    both = S.search(n, "segm").select("id").intersect(S.search(n, '"building"').select("id"))
-    return both
+    index = X.node_terms(s, d)
+    return S.match(index, "id", "segm").intersect(S.match(index, "id", '"building"'))
 
 
 @query("""SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM (
@@ -126,8 +125,7 @@ SELECT doc_id, size, asked, sum(tf) AS tf FROM (SELECT doc_id, size, term, count
 JOIN (SELECT asked AS a2, count(*) AS df FROM (SELECT DISTINCT doc_id, CASE WHEN starts_with(term, 'thing') THEN 'thing' WHEN starts_with(term, 'under') THEN 'under' END AS asked FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents)) WHERE asked IS NOT NULL GROUP BY 1) ON asked = a2
 CROSS JOIN (SELECT count(*) AS n, avg(len(t)) AS mean FROM (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents) WHERE len(t) > 0) GROUP BY doc_id""")
 def rank_documents(s, d):
-    docs = load(s, d, "documents")
-    return S.ranked(S.postings(docs, "doc_id", ["text"]), "doc_id", "thing under").select("doc_id", F.round("score", 6).alias("score"))
+    return S.ranked(X.document_terms(s, d), "doc_id", "thing under", size=X.document_sizes(s, d)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT part, name, kind, edges FROM (SELECT 0 AS part, qualified_name AS name, kind, CAST(NULL AS BIGINT) AS edges FROM nodes WHERE label ILIKE '%ou%' UNION ALL SELECT 1, external_type, 'EXTERNAL_CLASS', n FROM (SELECT split_part(external_target_fqn, '#', 1) AS external_type, count(*) AS n FROM edges WHERE is_external GROUP BY 1))", ("nodes", "edges"))
@@ -239,7 +237,7 @@ def implementors_recursive(s, d):
     return H.implementors(X.edges(s, d), X.nodes(s, d).where("label in ('S1', 'S2')"), recursive=True)
 
 
-ORACLE["implementors_recursive"] = oracle_with("nodes", "edges") + """, r(id, depth) AS (SELECT id, 0 FROM nodes WHERE label IN ('S1','S2') UNION SELECT source_id, depth + 1 FROM r JOIN edges ON target_id = r.id AND relation IN ('IMPLEMENTS','INHERITS') WHERE depth < 20)
+ORACLE["implementors_recursive"] = oracle_with("nodes", "edges") + """, r(id, depth) AS (SELECT id, 0 FROM nodes WHERE label IN ('S1','S2') UNION SELECT source_id, depth + 1 FROM r JOIN edges ON target_id = r.id AND relation IN ('IMPLEMENTS','INHERITS'))
 SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) > 0"""
 
 # traversal

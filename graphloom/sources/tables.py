@@ -10,8 +10,11 @@ plain SQL, so that they read the same for Spark and for an oracle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.operators.search import sizes, terms
 from graphloom.storage import scratch
 
 NODES_SQL = """
@@ -52,8 +55,8 @@ UNION ALL SELECT DISTINCT 'star::MAIN::catalog.T' || CAST(l_partkey AS STRING) |
   FROM {{lineitem}} JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{part}} ON l_partkey = p_partkey
 UNION ALL SELECT {_SUPP} || '#ship()', 'star::MAIN::geo.N' || CAST(s_nationkey AS STRING) || '#route()', {_NULLS}, 'CALLS', 'INSTANCE', 'EXTRACTED', {_NULLS}, 'supplier' || CAST(s_nationkey AS STRING) || '.src', 'L2', {_NULLS} FROM {{supplier}}
 UNION ALL SELECT 'star::MAIN::geo.N' || CAST(n_nationkey AS STRING) || '#route()', 'star::MAIN::geo.R' || CAST(n_regionkey AS STRING) || '#hub()', {_NULLS}, 'CALLS', 'STATIC', 'EXTRACTED', {_NULLS}, 'nation.src', 'L2', {_NULLS} FROM {{nation}}
-UNION ALL SELECT DISTINCT 'star::MAIN::web.P' || CAST(page_id AS STRING) || '#load()', {_NULLS}, replace(split_part(split_part(part, '"', 1), '#', 1), 'https://', '') || '#get()', 'CALLS', 'INSTANCE', 'EXTRACTED', {_NULLS}, 'page' || CAST(page_id % 10 AS STRING) || '.src', 'L1', {_NULLS}
-  FROM (SELECT page_id, split_part(html, 'href="', 2) AS part FROM {{pages}} UNION ALL SELECT page_id, split_part(html, 'href="', 3) AS part FROM {{pages}} UNION ALL SELECT page_id, split_part(html, 'href="', 4) AS part FROM {{pages}}) AS links WHERE part <> ''
+UNION ALL SELECT DISTINCT 'star::MAIN::web.P' || CAST(page_id AS STRING) || '#load()', {_NULLS}, replace(split_part(link, '#', 1), 'https://', '') || '#get()', 'CALLS', 'INSTANCE', 'EXTRACTED', {_NULLS}, 'page' || CAST(page_id % 10 AS STRING) || '.src', 'L1', {_NULLS}
+  FROM (SELECT page_id, {{explode}}(regexp_extract_all(html, 'href="([^"]*)', 1)) AS link FROM {{pages}}) AS links WHERE link <> ''
 UNION ALL SELECT {_CUST}, {_ORDER}, {_NULLS}, 'CONTAINS', {_NULLS}, 'EXTRACTED', {_NULLS}, {_CFILE}, 'L1', {_NULLS} FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey
 UNION ALL SELECT {_CUST}, {_CUST} || '#balance', {_NULLS}, 'CONTAINS', {_NULLS}, 'EXTRACTED', {_NULLS}, {_CFILE}, 'L1', {_NULLS} FROM {{customer}}
 UNION ALL SELECT 'star::MAIN::catalog.T' || CAST(p_partkey AS STRING), 'star::MAIN::catalog.T' || CAST(p_partkey AS STRING) || '#make(int)', {_NULLS}, 'CONTAINS', {_NULLS}, 'EXTRACTED', {_NULLS}, 'part' || CAST(p_size AS STRING) || '.src', 'L1', {_NULLS} FROM {{part}}
@@ -95,7 +98,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql, **{t: load(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql})
+    return spark.sql(sql.replace("{explode}", "explode"), **{t: load(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql})
 
 
 _STATEMENTS = {"nodes": NODES_SQL, "edges": EDGES_SQL, "annotations": ANNOTATIONS_SQL, "flow_nodes": FLOW_NODES_SQL, "flow_edges": FLOW_EDGES_SQL}
@@ -138,6 +141,36 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed(spark, sf_dir, "annotations")
 
 
+def node_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, term, tf) of the nodes' names and documentation, sorted by term."""
+    return _kept(spark, sf_dir, "node_terms", lambda: terms(nodes(spark, sf_dir), "id", ["qualified_name", "label", "javadoc"]))
+
+
+def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, term, tf) of the documents, sorted by term."""
+    return _kept(spark, sf_dir, "document_terms", lambda: terms(load(spark, sf_dir, "documents"), "doc_id", ["text"]))
+
+
+def document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size) of the documents that have terms."""
+    return _kept(spark, sf_dir, "document_sizes", lambda: sizes(document_terms(spark, sf_dir), "doc_id"))
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+    """An index built once for a session and folder. Terms are sorted, so that a query reads only the
+    row groups that its terms, or beginnings of terms, fall into."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _indexed.get(key)
+    if path is None or not _complete(spark, path):
+        path = scratch(spark, name)
+        df = made()
+        if "term" in df.columns:
+            df = df.repartitionByRange("term").sortWithinPartitions("term")
+        df.write.option("parquet.block.size", 16 << 20).parquet(path)
+        _indexed[key] = path
+    return spark.read.parquet(path)
+
+
 def flow_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed(spark, sf_dir, "flow_nodes")
 
@@ -149,4 +182,4 @@ def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle_with(*names: str) -> str:
     """The same statements as common table expressions over views named as the tables."""
     known = {"nodes": NODES_SQL, "edges": EDGES_SQL, "annotations": ANNOTATIONS_SQL, "fnodes": FLOW_NODES_SQL, "fedges": FLOW_EDGES_SQL}
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS MATERIALIZED ({known[n].format(**{t: t for t in TABLES})})" for n in names)
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS MATERIALIZED ({known[n].format(explode="unnest", **{t: t for t in TABLES})})" for n in names)

@@ -16,15 +16,19 @@ def compact(events: DataFrame, key: str, order: str) -> DataFrame:
     return last_wins(events, key, order)
 
 
+def _watermarked(stream: DataFrame, ts: str, late: str) -> DataFrame:
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if stream.isStreaming else stream
+
+
 def debounced(stream: DataFrame, ts: str, key: str, gap: str = "500 milliseconds", late: str = "10 minutes") -> DataFrame:
     """(key, start, end, n): bursts of a key that a gap without events ends, on streams and tables."""
-    own = stream.withWatermark(ts, late) if stream.isStreaming else stream
+    own = _watermarked(stream, ts, late)
     return own.groupBy(F.session_window(ts, gap).alias("w"), F.col(key)).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def tumbling(stream: DataFrame, ts: str, kind: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, kind, n, total): counts and sums of value in windows."""
-    own = stream.withWatermark(ts, late) if stream.isStreaming else stream
+    own = _watermarked(stream, ts, late)
     return own.groupBy(F.window(ts, size).alias("w"), F.col(kind)).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
 
 
@@ -46,6 +50,16 @@ def run_to_end(stream: DataFrame, apply: Callable[[DataFrame, int], None], check
     return query
 
 
+def run_aggregate(aggregated: DataFrame, path: str, checkpoint: str) -> None:
+    """Writes the whole state of a streamed aggregate to path after each micro-batch, and ends when the
+    source has no more."""
+
+    def whole(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    aggregated.writeStream.outputMode("complete").foreachBatch(whole).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def upsert_latest(batch: DataFrame, number: int, path: str, key: str, order: str) -> None:
     """Folds a batch into the table of latest events at path, as a new version of it named by the
     batch, so that a repeated batch writes the same again."""
