@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tomllib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,8 @@ def source_files(spark: SparkSession, root: str, suffix: str = "java", excludes:
     globs on the path."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}").load(root)
     path = F.regexp_replace("path", r"^file:/*", "/")
-    own = raw.select(F.replace(path, F.lit(root.rstrip("/") + "/"), F.lit("")).alias("source_file"), F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("hash"), F.col("length").alias("file_size"), (F.unix_micros("modificationTime") * 1000).alias("file_mtime_ns"))
+    below = re.sub("^file:/*", "/", root).rstrip("/") + "/"
+    own = raw.select(F.replace(path, F.lit(below), F.lit("")).alias("source_file"), F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("hash"), F.col("length").alias("file_size"), (F.unix_micros("modificationTime") * 1000).alias("file_mtime_ns"))
     for glob in excludes or []:
         own = own.where(~F.col("source_file").rlike(glob_regex(glob)))
     return own
@@ -108,16 +110,30 @@ def annotation_batch(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def settings(path: str) -> dict:
-    with open(path, "rb") as f:
-        return tomllib.load(f)
+def _bytes(path: str, spark: SparkSession | None, most: int) -> bytes | None:
+    """A small file, by Spark's file systems where a session is given; None if it is larger than most."""
+    if spark is None:
+        with open(path, "rb") as f:
+            raw = f.read(most + 1)
+        return raw if len(raw) <= most else None
+    found = spark.read.format("binaryFile").load(path)
+    if found.isEmpty():
+        raise FileNotFoundError(path)
+    row = found.where(F.col("length") <= most).select("content").first()
+    return None if row is None else bytes(row.content)
 
 
-def taint_rules(path: str) -> dict[str, list[str]]:
+def settings(path: str, spark: SparkSession | None = None) -> dict:
+    raw = _bytes(path, spark, RULE_FILE_BYTES)
+    if raw is None:
+        raise ValueError("the settings are larger than 1 MiB")
+    return tomllib.loads(raw.decode())
+
+
+def taint_rules(path: str, spark: SparkSession | None = None) -> dict[str, list[str]]:
     """Globs of sources, sinks and sanitizers, within fixed limits."""
-    with open(path, "rb") as f:
-        raw = f.read(RULE_FILE_BYTES + 1)
-    if len(raw) > RULE_FILE_BYTES:
+    raw = _bytes(path, spark, RULE_FILE_BYTES)
+    if raw is None:
         raise ValueError("the rule file is larger than 1 MiB")
     rules = {k: list(json.loads(raw).get(k, [])) for k in ("sources", "sinks", "sanitizers")}
     if any(len(v) > RULES_EACH or any(not isinstance(r, str) or len(r) > RULE_CHARS for r in v) for v in rules.values()):
