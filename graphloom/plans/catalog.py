@@ -343,21 +343,11 @@ def flow_of_reverse(s, d):
 
 @query(None)
 def flow_path(s, d):
-    n = X.flow_nodes(s, d)
-    return T.flow_path(X.flow_edges(s, d), n.where("kind = 'SANITIZER' and line % 4 = 0"), n.where("kind = 'CONDITION' and line % 50 = 0"), 10).agg(F.coalesce(F.max("depth"), F.lit(0)).alias("length"))
-
-
-ORACLE["flow_path"] = oracle_with("fnodes", "fedges") + """, w(id, d) AS (SELECT id, 0 FROM fnodes WHERE kind = 'SANITIZER' AND line % 4 = 0 UNION SELECT target_node, d + 1 FROM w JOIN fedges ON source_node = w.id WHERE d < 10 AND relation IN ('DEF_USE','ARGUMENT_FLOW'))
-SELECT CAST(coalesce(min(d), 0) AS INT) AS length FROM w WHERE d > 0 AND id IN (SELECT id FROM fnodes WHERE kind = 'CONDITION' AND line % 50 = 0)"""
-
-
-@query(None)
-def flow_path_all(s, d):
     n = X.flow_nodes(s, d)
     return T.flow_path(X.flow_edges(s, d), n.where("kind = 'SANITIZER'"), n.where("kind = 'CONDITION'"), 10).agg(F.coalesce(F.max("depth"), F.lit(0)).alias("length"))
 
 
-ORACLE["flow_path_all"] = oracle_with("fnodes", "fedges") + """, w(id, d) AS (SELECT id, 0 FROM fnodes WHERE kind = 'SANITIZER' UNION SELECT target_node, d + 1 FROM w JOIN fedges ON source_node = w.id WHERE d < 10 AND relation IN ('DEF_USE','ARGUMENT_FLOW'))
+ORACLE["flow_path"] = oracle_with("fnodes", "fedges") + """, w(id, d) AS (SELECT id, 0 FROM fnodes WHERE kind = 'SANITIZER' UNION SELECT target_node, d + 1 FROM w JOIN fedges ON source_node = w.id WHERE d < 10 AND relation IN ('DEF_USE','ARGUMENT_FLOW'))
 SELECT CAST(coalesce(min(d), 0) AS INT) AS length FROM w WHERE d > 0 AND id IN (SELECT id FROM fnodes WHERE kind = 'CONDITION')"""
 
 
@@ -383,15 +373,9 @@ def file_dependencies(s, d):
     return B.file_dependencies(X.edges(s, d), X.nodes(s, d))
 
 
-@query("""SELECT owner AS source_id, impl AS target_id, CASE WHEN max(n) = 1 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS confidence FROM (SELECT DISTINCT source_id AS owner, target_id AS iface FROM edges WHERE relation = 'INJECTS')
-JOIN (SELECT iface, impl, count(*) OVER (PARTITION BY iface) AS n FROM (SELECT DISTINCT target_id AS iface, source_id AS impl FROM edges WHERE relation = 'IMPLEMENTS')) USING (iface) WHERE owner LIKE '%.n3.%' GROUP BY 1, 2""", ("edges",))
-def di_wiring(s, d):
-    return B.wire(X.edges(s, d).where("relation <> 'INJECTS' or source_id like '%.n3.%'")).select("source_id", "target_id", "confidence")
-
-
 @query("""SELECT owner AS source_id, impl AS target_id, CASE WHEN max(n) = 1 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS confidence FROM (SELECT DISTINCT source_id AS owner, target_id AS iface FROM edges WHERE relation = 'INJECTS')
 JOIN (SELECT iface, impl, count(*) OVER (PARTITION BY iface) AS n FROM (SELECT DISTINCT target_id AS iface, source_id AS impl FROM edges WHERE relation = 'IMPLEMENTS')) USING (iface) GROUP BY 1, 2""", ("edges",))
-def di_wiring_all(s, d):
+def di_wiring(s, d):
     return B.wire(X.edges(s, d)).select("source_id", "target_id", "confidence")
 
 
@@ -595,7 +579,7 @@ def stream_compact_latest(s, d):
         last.append(number)
 
     R.run_to_end(_event_stream(s, d), apply, check)
-    return s.read.parquet(f"{out}/{last[-1]}")
+    return R.latest(s, out, last[-1])
 
 
 @query("""WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), b AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.build import last_wins
@@ -60,11 +60,32 @@ def run_aggregate(aggregated: DataFrame, path: str, checkpoint: str) -> None:
     aggregated.writeStream.outputMode("complete").foreachBatch(whole).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_latest(batch: DataFrame, number: int, path: str, key: str, order: str) -> None:
-    """Folds a batch into the table of latest events at path, as a new version of it named by the
-    batch, so that a repeated batch writes the same again."""
+def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    return df.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def _places(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    """Which batch last wrote each bucket, after the batch of this number."""
+    return {r.bucket: r.number for r in spark.read.parquet(f"{path}/places/{number}").collect()}
+
+
+def upsert_latest(batch: DataFrame, number: int, path: str, key: str, order: str, buckets: int = 64) -> None:
+    """Folds a batch into the table of latest events at path. Keys lie in buckets by hash; those that
+    a batch touches are written anew below its number, and a small table beside them says where each
+    bucket is, so that a repeated batch writes the same again. The number of buckets stays as it is."""
     spark = batch.sparkSession
-    own = compact(batch, key, order)
-    if number > 0:
-        own = compact(spark.read.parquet(f"{path}/{number - 1}").unionByName(own), key, order)
-    own.write.mode("overwrite").parquet(f"{path}/{number}")
+    own = _bucketed(compact(batch, key, order), key, buckets)
+    places = _places(spark, path, number - 1) if number > 0 else {}
+    hit = [r[0] for r in own.select("__bucket").distinct().collect()]
+    old = [f"{path}/rows/{places[b]}/__bucket={b}" for b in hit if b in places]
+    if old:
+        own = _bucketed(compact(spark.read.schema(batch.schema).parquet(*old).unionByName(own.drop("__bucket")), key, order), key, buckets)
+    own.write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/rows/{number}")
+    now = places | dict.fromkeys(hit, number)
+    spark.createDataFrame(list(now.items()), "bucket int, number long").coalesce(1).write.mode("overwrite").parquet(f"{path}/places/{number}")
+
+
+def latest(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The table of upsert_latest() after the batch of this number."""
+    places = _places(spark, path, number)
+    return spark.read.parquet(*[f"{path}/rows/{n}/__bucket={b}" for b, n in sorted(places.items())])

@@ -184,7 +184,7 @@ def test_stream_retries_and_folds(spark, tmp_path):
         last.append(number)
 
     R.run_to_end(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), apply, str(tmp_path / "check"), delay=0)
-    got = spark.read.parquet(f"{tmp_path}/out/{last[-1]}")
+    got = R.latest(spark, str(tmp_path / "out"), last[-1])
     assert sorted((r.k, r.n) for r in got.collect()) == [("a", 3), ("b", 1)] and calls[:2] == [0, 0]
 
 
