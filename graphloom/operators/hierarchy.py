@@ -18,13 +18,14 @@ def hierarchy(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH) -> Dat
     interfaces that the seeds implement directly."""
     up = edges.where("relation = 'INHERITS'").select("source_id", "target_id", "external_target_fqn", "relation")
     own = seeds.select(F.col("id").alias("source_id"))
-    level, out = own, []
+    # paths are counted from level to level, and spread to rows only in the result
+    level, out = own.groupBy("source_id").agg(F.count("*").alias("paths")), []
     for d in range(1, depth + 1):
-        rows = cut(up.where("target_id is not null").join(level.groupBy("source_id").agg(F.count("*").alias("paths")), "source_id"))
+        rows = cut(up.where("target_id is not null").join(level, "source_id"))
         if rows.isEmpty():
             break
         out.append(rows.withColumn("depth", F.lit(d)).withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("paths")))).drop("paths", "each"))
-        level = rows.withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("paths")))).select(F.col("target_id").alias("source_id"))
+        level = rows.groupBy(F.col("target_id").alias("source_id")).agg(F.sum("paths").alias("paths"))
     reached = len(out)
     beyond = up.where("target_id is null").join(own, "source_id", "left_semi").withColumn("depth", F.lit(max(1, reached)))
     direct = edges.where("relation = 'IMPLEMENTS'").join(own, "source_id", "left_semi").select("source_id", "target_id", "external_target_fqn", "relation").withColumn("depth", F.lit(1))

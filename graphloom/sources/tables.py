@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.operators.search import sizes, terms
-from graphloom.storage import scratch
+from graphloom.storage import cut, scratch
 
 NODES_SQL = """
 SELECT 'star::MAIN::' || q AS id, q AS symbol_id, label, kind, CASE WHEN kind IN ('METHOD') THEN split_part(q, '(', 1) ELSE q END AS qualified_name,
@@ -97,8 +97,20 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BOUGHT = "{orders} JOIN {customer} ON o_custkey = c_custkey"
+_SOLD = "{lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey"
+
+
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace("{explode}", "explode"), **{t: load(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql})
+    """The statement's rows. Joins that several of its branches share are made and written once."""
+    given = {t: load(spark, sf_dir, t) for t in TABLES}
+    if sql.count(_SOLD) > 1:
+        bought = spark.sql(f"SELECT o_orderkey, o_orderstatus, c_custkey, c_nationkey FROM {_BOUGHT}", orders=given["orders"], customer=given["customer"])
+        given["bought"] = cut(bought, "bought")
+        sold = spark.sql("SELECT l_partkey, l_suppkey, l_linenumber, l_returnflag, l_linestatus, l_quantity, {bought}.* FROM {lineitem} JOIN {bought} ON l_orderkey = o_orderkey", lineitem=given["lineitem"], bought=given["bought"])
+        given["sold"] = cut(sold, "sold")
+        sql = sql.replace(_SOLD, "{sold}").replace(_BOUGHT, "{bought}")
+    return spark.sql(sql.replace("{explode}", "explode"), **{t: df for t, df in given.items() if "{" + t + "}" in sql})
 
 
 _STATEMENTS = {"nodes": NODES_SQL, "edges": EDGES_SQL, "annotations": ANNOTATIONS_SQL, "flow_nodes": FLOW_NODES_SQL, "flow_edges": FLOW_EDGES_SQL}
