@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips and held-out labels."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import duckdb
@@ -258,6 +259,43 @@ def test_classifier_agrees_with_labels(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.15 * len(bad)
 
 
+def plain_votes(text):
+    """The labellers' votes on one text, from their definitions."""
+    b, words = text.encode(), text.split() if text.isascii() else [w.decode() for w in re.findall(rb"[^\x00-\x20]+", text.encode())]
+    if not b:
+        return [-1] * len(weak_labels.LABELLERS)
+    letter = [65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in b]
+    sign = [not (y or c <= 32 or 48 <= c <= 57) for c, y in zip(b, letter)]
+    letters, signs, capitals, bars = (sum(x) / len(b) for x in (letter, sign, [65 <= c <= 90 for c in b], [c in b"|#%$*&" for c in b]))
+    n, counts = max(1, len(words)), Counter(words)
+    repeats = sum(x == y for x, y in zip(words, words[1:])) / n
+    pairs = len(set(zip(words, words[1:]))) / max(1, len(words) - 1)
+    variety, most, length = len(counts) / n**0.8, max(counts.values(), default=0), sum(map(len, words)) / n
+    wide = sum(0xE3 <= x.encode()[0] <= 0xE9 for x in text)
+    spaced, size = wide <= 0.3 * len(text), len(words) + wide
+    lines = text.split("\n")
+    lines = lines[:-1] if lines[-1] == "" else lines
+    dup = 1 - len({tuple(sorted(x.split())) for x in lines}) / max(1, len(lines))
+    some = len(words) >= 20
+    both = [
+        (letters > 0.78, some and letters < 0.65), (signs < 0.04, some and signs > 0.08), (repeats < 0.02, repeats > 0.1), (variety > 1.2, variety < 0.6),
+        (spaced and 3.5 < length < 7, spaced and (length < 2.5 or length > 8.5)), (capitals < 0.05, some and capitals > 0.2), (dup < 0.05, dup > 0.3), (bars < 0.002, bars > 0.03),
+        (size >= 50, size < 3), (some and most < 0.12 * n, some and most > 0.25 * n), (some and pairs > 0.8, some and pairs < 0.5),
+    ]
+    return [-1 if bad else 1 if good else 0 for good, bad in both]
+
+
+def test_posteriors_against_brute_force(spark):
+    """The query's posteriors, from votes taken text by text and an estimation over single documents."""
+    rows = spark.read.parquet(f"{SF2}/documents.parquet").select("doc_id", "text").collect()
+    votes = np.array([plain_votes(r.text or "") for r in rows])
+    post, _, _ = weak_labels.expectation_maximisation(votes, np.ones(len(rows), int))
+    want = {r.doc_id: p if (r.text or "").strip() else 0.0 for r, p in zip(rows, post)}
+    got = registry.op4_quality_classifier(spark, SF2).collect()
+    assert len(got) == len(rows) and max(abs(r.posterior - want[r.doc_id]) for r in got) < 1e-5
+    assert all(r.keep == (r.score >= weak_labels.KEEP) for r in got)
+
+
 # 5
 
 @pytest.mark.parametrize("name", ["op1_decontaminate", "op5_line_dedup"])
@@ -391,6 +429,40 @@ def test_composition_equals_cascade():
         assert abs(whole.weight(symbols) - total) < 1e-9
 
 
+def test_toxicity_query_against_brute_force(spark):
+    """The query's rows: clauses by regular expressions, each through the four transducers in turn."""
+    docs = spark.read.parquet(f"{SF2}/documents.parquet")
+    lexicon = {k.encode(): v for k, v in toxicity.learned(docs, spark.read.parquet(f"{SF2}/labels.parquet")).items()}
+    verbs = {x.encode() for x in toxicity.THREATS}
+    words = {w.encode(): s for s, ws in ((toxicity.G, toxicity.TARGETS), (toxicity.N, toxicity.NEGATIONS), (toxicity.R, toxicity.REPORTS)) for w in ws}
+    parts = [toxicity.negation(), toxicity.reported(), toxicity.targeted(), toxicity.weighing()]
+    cut = {b"don", b"isn", b"aren", b"wasn", b"didn", b"doesn", b"won", b"can"}
+    want = {}
+    for r in docs.select("doc_id", F.lower("text").alias("text")).collect():
+        place, found = 0, []
+        for clause in re.split(rb"[.!?;\n]", (r.text or "").encode()):
+            symbols, first = [], None
+            for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", clause):
+                w = m.group()
+                s = max([lexicon.get(w[:k], 0) for k in range(1, len(w) + 1)] + [toxicity.V * (w in verbs)])
+                first = place if s and first is None else first
+                symbols.append(s or words.get(w, toxicity.N if w in cut and clause[m.end() : m.end() + 2] == b"'t" else toxicity.O))
+                place += 1
+            score = 0.0
+            for t in parts if first is not None else []:
+                state, out = 0, []
+                for s in symbols:
+                    o, w, state = t.step(state, s)
+                    out.append(o)
+                    score += w
+                symbols = out
+            if score > 0:
+                found.append((first, score))
+        if any(sum(g for q, g in found[: i + 1] if q > p - toxicity.REACH) >= toxicity.THRESHOLD - 1e-9 for i, (p, _) in enumerate(found)):
+            want[r.doc_id] = (round(sum(g for _, g in found), 4), len(found))
+    assert {r.doc_id: (r.score, r.clauses) for r in registry.op8_toxicity(spark, SF2).collect()} == want and len(want) > 20
+
+
 def test_toxicity_on_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
