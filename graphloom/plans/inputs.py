@@ -198,10 +198,10 @@ def _stat(files):
     return files.withColumn("file_size", F.lit(1).cast("long")).withColumn("file_mtime_ns", F.lit(0).cast("long"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS source_file, CASE WHEN o_orderkey % 17 = 0 THEN 'deleted' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 50 = 0")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS source_file, CASE WHEN o_orderkey % 17 = 0 THEN 'deleted' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 17 = 0 OR o_orderkey % 10 = 0")
 def watch_changes(s, d):
-    """Events name some files, of which the watch redoes those that differ."""
-    events = load(s, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").cast("string").alias("path"), F.lit("MODIFY").alias("kind"))
+    """Events name every file that the graph has, of which the watch redoes those that differ."""
+    events = load(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.lit("MODIFY").alias("kind"))
     return s.read.parquet(_watched(s, d, events)[1]).select("source_file", "change")
 
 
@@ -211,3 +211,22 @@ def watch_overflow(s, d):
     watch, _, versions = _watched(s, d, s.createDataFrame([(None, "OVERFLOW")], "path string, kind string"))
     states = " ".join(x["state"] for x in watch.state.history())
     return versions.read("files").select("source_file", F.lit(states).alias("states"))
+
+
+# states
+
+@query("SELECT method_id, min(line) AS line FROM fnodes GROUP BY method_id", ("fnodes",))
+def keep_one(s, d):
+    """The first flow node of each method."""
+    return L.keep_first(X.flow_nodes(s, d), ["method_id"], ["line"]).select("method_id", "line")
+
+
+@query(f"SELECT 12 AS version, CASE WHEN (SELECT count(*) FROM nodes) = 0 THEN 'INDEX_EMPTY ' ELSE '' END || CASE WHEN (SELECT count(*) FROM ({_DIAG}) WHERE phase = 'parse' AND severity = 'error') > 0 THEN 'PARSE_INCOMPLETE' ELSE '' END AS blockers, 'DEGRADED' AS status UNION ALL SELECT 11, 'SCHEMA_MISMATCH INDEX_STALE', 'REPAIR_REQUIRED'", ("nodes",))
+def readiness_report(s, d):
+    """Whether the graph may be relied on, by its size and its diagnostics: tables of this schema, and
+    tables of the one before that are stale."""
+    worst = {r.phase: r.worst for r in V.health(_diagnostics(s, d)).collect()}
+    states = {p: ("complete", "partial", "failed")[w] for p, w in worst.items()} | {"resolution": "partial" if any(p.startswith("resol") and w for p, w in worst.items()) else "complete"}
+    n = X.nodes(s, d).count()
+    out = [(v, V.readiness(v, 12, n, v < 12, states)) for v in (12, 11)]
+    return s.createDataFrame([(v, " ".join(r["blockers"]), r["status"]) for v, r in out], "version int, blockers string, status string")
