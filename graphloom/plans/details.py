@@ -290,7 +290,7 @@ ORACLE["flow_of_limited"] = oracle_with("fnodes", "fedges") + _LEVELS.format(dep
 FROM (SELECT DISTINCT ON (eid) *, CASE WHEN NOT is_external THEN split_part(target_id, '::', 3) || CASE WHEN source_location = 'L7' THEN '?' ELSE '' END END AS sym FROM edges) e LEFT JOIN (SELECT symbol_id, min(id) AS id FROM nodes GROUP BY 1 HAVING count(*) = 1) k ON k.symbol_id = e.sym""", ("nodes", "edges"))
 def tiered_resolution_rows(s, d):
     symbol = I.symbol_of(F.col("target_id"))
-    e = X.edges(s, d).withColumn("target_id", F.when(F.col("source_location") == "L7", F.concat(symbol, F.lit("?"))).otherwise(symbol)).dropDuplicates(["eid"])
+    e = X.edges_once(s, d).withColumn("target_id", F.when(F.col("source_location") == "L7", F.concat(symbol, F.lit("?"))).otherwise(symbol))
     return B.resolve_references(e, X.nodes(s, d)).select("eid", "target_id", "confidence", "is_external", "external_target_fqn")
 
 
