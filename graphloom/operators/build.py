@@ -34,14 +34,16 @@ def resolve_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def rebind_external(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """External edges whose name is a node after all become internal: by exact id, by the only node
-    of that symbol ($ as . for reflection), by the only node of that name and arity."""
+    of that symbol ($ as . for reflection), by the only node of that name and arity. Names are bound
+    once each, and edges meet them in one join."""
     ext, rest = edges.where("is_external"), edges.where("not is_external")
     name = F.when(F.col("resolution") == "reflection", F.translate("external_target_fqn", "$", ".")).otherwise(F.col("external_target_fqn"))
-    ext = ext.withColumn("__n", name).withColumn("__a", F.when(F.col("__n").endswith(")"), arity_key(F.col("__n"))))
+    names = ext.select("external_target_fqn", name.alias("__n")).distinct().withColumn("__a", F.when(F.col("__n").endswith(")"), arity_key(F.col("__n"))))
     by_id = nodes.select(F.col("id").alias("external_target_fqn"), F.col("id").alias("b1"))
     by_symbol = nodes.groupBy(F.col("symbol_id").alias("__n")).agg(F.count("*").alias("k"), F.min("id").alias("b2")).where("k = 1").drop("k")
     by_arity = nodes.where(F.col("symbol_id").endswith(")")).groupBy(arity_key(F.col("symbol_id")).alias("__a")).agg(F.count("*").alias("k"), F.min("id").alias("b3")).where("k = 1").drop("k")
-    j = ext.join(by_id, "external_target_fqn", "left").join(by_symbol, "__n", "left").join(by_arity, "__a", "left").withColumn("bound", F.coalesce("b1", "b2", "b3"))
+    found = names.join(by_id, "external_target_fqn", "left").join(by_symbol, "__n", "left").join(by_arity, "__a", "left").select("external_target_fqn", "__n", F.coalesce("b1", "b2", "b3").alias("bound")).where("bound is not null")
+    j = ext.withColumn("__n", name).join(found, ["external_target_fqn", "__n"], "left")
     hit = F.col("bound").isNotNull()
     bound = j.select(*[{"target_id": F.col("bound"), "external_target_fqn": F.when(~hit, F.col("external_target_fqn")), "is_external": ~hit, "resolution": F.when(~hit, F.col("resolution"))}.get(c, F.col(c)).alias(c) for c in edges.columns])
     return rest.unionByName(bound)
