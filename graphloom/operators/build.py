@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.identity import arity_key, doc_summary, owner_of
+from graphloom.storage import cut
 
 
 def resolve_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -57,10 +58,18 @@ def backfill_files(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def prune(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose source, and whose target if internal, exist."""
-    ids = nodes.select("id").distinct()
-    own = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
-    inner = own.where("not is_external").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(*edges.columns)
-    return own.where("is_external").select(*edges.columns).unionByName(inner)
+    lost = _lost(edges, nodes)
+    out = edges.where("source_id is not null and (is_external or target_id is not null)").join(lost.select(F.col("id").alias("source_id")), "source_id", "left_anti")
+    # an external edge's target is not looked up
+    inner = lost.select(F.col("id").alias("__t"))
+    return out.withColumn("__t", F.when(~F.col("is_external"), F.col("target_id"))).where("is_external is not null").join(inner, "__t", "left_anti").select(*edges.columns)
+
+
+def _lost(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id): ends of edges that are no nodes, each once. They are few where facts are sound, so that
+    edges needn't be sent to where all the nodes are, twice."""
+    ends = edges.select(F.col("source_id").alias("id")).unionByName(edges.where("not is_external").select(F.col("target_id").alias("id"))).where("id is not null").distinct()
+    return cut(ends.join(nodes.select("id"), "id", "left_anti"))
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
