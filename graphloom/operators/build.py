@@ -107,9 +107,9 @@ def injected_calls(edges: DataFrame) -> DataFrame:
 def file_dependencies(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(source_file, depends_on_file): distinct pairs of different files that internal edges join."""
     f = nodes.where("source_file is not null").select("id", "source_file")
-    pairs = edges.where("not is_external").select("source_id", "target_id").distinct()
+    pairs = edges.where("not is_external").select("source_id", "target_id")
     s, t = f.select(F.col("id").alias("source_id"), "source_file"), f.select(F.col("id").alias("target_id"), F.col("source_file").alias("depends_on_file"))
-    return pairs.join(s, "source_id").join(t, "target_id").where("source_file <> depends_on_file").select("source_file", "depends_on_file").distinct()
+    return pairs.join(s, "source_id").select("source_file", "target_id").distinct().join(t, "target_id").where("source_file <> depends_on_file").select("source_file", "depends_on_file").distinct()
 
 
 def unique_callees(flow_calls: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
