@@ -86,8 +86,14 @@ def wire(edges: DataFrame) -> DataFrame:
     inj = edges.where("relation = 'INJECTS' and not is_external").select(F.col("source_id").alias("owner"), F.col("target_id").alias("iface")).distinct()
     impl = edges.where("relation = 'IMPLEMENTS' and not is_external").select(F.col("target_id").alias("iface"), F.col("source_id").alias("impl")).distinct()
     impl = impl.withColumn("n", F.count("*").over(Window.partitionBy("iface")))
-    made = inj.join(impl, "iface").select(F.col("owner").alias("source_id"), F.col("impl").alias("target_id"), F.lit("WIRES").alias("relation"), F.when(F.col("n") == 1, "INFERRED").otherwise("AMBIGUOUS").alias("confidence"), F.lit("injection").alias("via"))
-    one = made.groupBy("source_id", "target_id", "relation", "via").agg(F.max("confidence").alias("confidence"))
+    # owner and implementation may meet at several interfaces: each side brings all of its own, and
+    # the pair counts at the first that both have, so that pairs needn't be shuffled to find repeats
+    inj = inj.where("iface is not null").withColumn("wanted", F.collect_list("iface").over(Window.partitionBy("owner")))
+    impl = impl.where("iface is not null").withColumn("given", F.collect_list(F.struct("iface", "n")).over(Window.partitionBy("impl")))
+    both = F.filter("given", lambda g: F.array_contains("wanted", g["iface"]))
+    made = inj.join(impl, "iface").withColumn("both", both).where(F.col("iface") == F.array_min(F.transform("both", lambda g: g["iface"])))
+    sure = F.forall("both", lambda g: g["n"] == 1)
+    one = made.select(F.col("owner").alias("source_id"), F.col("impl").alias("target_id"), F.lit("WIRES").alias("relation"), F.when(sure, "INFERRED").otherwise("AMBIGUOUS").alias("confidence"), F.lit("injection").alias("via"))
     have = edges.where("relation = 'WIRES'").select(F.col("source_id").alias("s"), F.col("target_id").alias("t"))
     return one.join(have, one.source_id.eqNullSafe(have.s) & one.target_id.eqNullSafe(have.t), "left_anti").select("source_id", "target_id", "relation", "confidence", "via")
 
