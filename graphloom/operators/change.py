@@ -62,6 +62,8 @@ def impacted_files(edges: DataFrame, ids: DataFrame, externals: DataFrame | None
 
 def impact_closure(dependencies: DataFrame, changed: DataFrame, total: int, most: int | None = None) -> DataFrame | None:
     """(source_file, round): files to redo, until no new ones come; None where a full run is cheaper."""
+    # each round reads the dependencies, which are made once
+    dependencies = cut(dependencies.select("source_file", "depends_on_file"))
     frontier = cut(changed.select("source_file").distinct())
     out = frontier.withColumn("round", F.lit(0))
     count = frontier.count()
