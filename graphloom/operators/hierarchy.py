@@ -57,11 +57,12 @@ def bean_tree(nodes: DataFrame, edges: DataFrame, name: str, prop: str | None =
     property keeps that one of the first level only."""
     beans = nodes.where("kind = 'BEAN'").where(F.col("label").ilike(f"%{name}%")).orderBy(F.when(F.col("label") == name, 0).otherwise(1), "label", "id").limit(most).select("id")
     below = edges.where("relation in ('CONFIGURES', 'XML_CONTAINS') and not is_external").select(F.col("source_id").alias("above"), F.col("target_id").alias("id"))
-    label = nodes.select("id", "label")
+    # a level meets one table, in which what is below has its label already
+    below = cut(below.join(nodes.select("id", "label"), "id"))
     level = cut(beans.select(F.col("id").alias("bean"), "id", F.lit("").alias("path"), F.array("id").alias("trail")))
     out = [level]
     while True:
-        level = level.withColumnRenamed("id", "above").join(below, "above").where(~F.array_contains("trail", F.col("id"))).join(label, "id")
+        level = level.withColumnRenamed("id", "above").join(below, "above").where(~F.array_contains("trail", F.col("id")))
         level = level.select("bean", "id", F.concat("path", F.lit("/"), "label").alias("path"), F.array_append("trail", F.col("id")).alias("trail"))
         if len(out) == 1 and prop is not None:
             level = level.where(F.col("path") == f"/{prop}")
