@@ -154,9 +154,9 @@ def related_documents(s, d):
 
 # callbacks and closures
 
-def _nested(s, d):
+def _nested(s, d, *relations):
     """Parts as bodies that hold the bodies of the parts below them, all within the first one."""
-    n, e = X.nodes(s, d).where("id like 'star::MAIN::catalog.T%' and kind = 'CLASS'"), X.edges(s, d)
+    n, e = X.nodes(s, d).where("id like 'star::MAIN::catalog.T%' and kind = 'CLASS'"), X.edges(s, d, "INHERITS", *relations)
     bodies = n.withColumn("kind", F.when(F.col("label") == "T1", "METHOD").otherwise("LAMBDA"))
     holds = e.where("relation = 'INHERITS'").withColumn("relation", F.lit("CONTAINS")).withColumn("up", F.col("target_id")).withColumn("target_id", F.col("source_id")).withColumn("source_id", F.col("up")).drop("up")
     calls = e.where("relation = 'CALLS'").withColumn("source_id", F.when(F.col("source_id").contains("::catalog."), I.owner_of(F.col("source_id"))).otherwise(F.col("source_id")))
@@ -171,7 +171,7 @@ def callback_bodies(s, d):
 
 @query("SELECT DISTINCT 'star::MAIN::catalog.T1' AS source_id, target_id, CASE WHEN split_part(source_id, '#', 1) <> 'star::MAIN::catalog.T1' THEN split_part(source_id, '#', 1) END AS via FROM edges WHERE relation = 'CALLS' AND source_id LIKE 'star::MAIN::catalog.T%' AND source_id NOT LIKE 'star::MAIN::catalog.T0#%'", ("edges",))
 def callees_through_callbacks(s, d):
-    bodies, holds, calls = _nested(s, d)
+    bodies, holds, calls = _nested(s, d, "CALLS")
     found = T.with_callbacks(calls.where("target_id is not null"), T.callback_bodies(bodies, holds))
     return found.where("source_id = 'star::MAIN::catalog.T1'").select("source_id", "target_id", "via").distinct()
 
@@ -179,7 +179,7 @@ def callees_through_callbacks(s, d):
 @query("SELECT CAST(3 AS INT) AS length FROM nodes WHERE id = 'star::MAIN::catalog.T1'", ("nodes",))
 def call_path_through_callbacks(s, d):
     """From the outermost body's calls to a hub: part, supplier, nation, region."""
-    bodies, holds, calls = _nested(s, d)
+    bodies, holds, calls = _nested(s, d, "CALLS")
     n = X.nodes(s, d)
     return T.call_path(calls, n.where("id = 'star::MAIN::catalog.T1'").select("id"), n.where("label = 'hub'").select("id"), 6, T.callback_bodies(bodies, holds)).agg(F.max("depth").alias("length"))
 
