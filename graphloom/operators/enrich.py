@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.dependency import context, members, overview
 from graphloom.operators.evidence import health
-from graphloom.operators.traverse import callees
+from graphloom.operators.sieve import semi
+from graphloom.operators.traverse import called
 
 
 def enriched(types: DataFrame, nodes: DataFrame, edges: DataFrame, annotations: DataFrame, semantic: DataFrame, related: DataFrame, depth: int = 1) -> DataFrame:
     """(section, id, detail): the context of the types, the callees of them and their members, what
     semantic (node_id, business_description) says of these, and related documents (id, snippet)."""
     own = members(types, edges)
-    calls = callees(edges, own, depth).select("source_id", F.concat_ws(" ", "relation", F.coalesce("target_id", "external_target_fqn")).alias("detail")).distinct()
-    said = semantic.join(own.withColumnRenamed("id", "node_id"), "node_id", "left_semi")
+    calls = called(edges, own, depth).withColumn("detail", F.concat_ws(" ", "relation", "target"))
+    said = semi(semantic, "node_id", own)
     parts = [
-        context(types, nodes, edges, annotations),
+        context(types, nodes, edges, annotations, own),
         calls.select(F.lit("callee").alias("section"), F.col("source_id").alias("id"), "detail"),
         said.select(F.lit("semantic").alias("section"), F.col("node_id").alias("id"), F.col("business_description").alias("detail")),
         related.select(F.lit("document").alias("section"), F.col("id").cast("string").alias("id"), F.col("snippet").alias("detail")),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.identity import glob_like
+from graphloom.storage import cut
 
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -29,6 +30,24 @@ def terms(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return found.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def asked_counts(docs: DataFrame, key: str, columns: list[str], query: str) -> tuple[DataFrame, DataFrame]:
+    """(key, term, tf) of the terms asked for alone, each for all that it is the beginning of, and
+    (key, size): what ranked needs of an index that isn't kept. A document's terms are counted where
+    it is read, and its counts are written."""
+    asked = sorted(set(re.findall(r"[^\W_]+", query.lower())))
+    text = F.lower(F.concat_ws(" ", *[F.col(c) for c in columns]))
+    found = docs.select(key, F.explode(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))).alias("term"))
+    counts = [F.count_if(F.coalesce(_asked(asked) == t, F.lit(False))).alias(f"__{i}") for i, t in enumerate(asked)]
+    kept = cut(found.groupBy(key).agg(F.count("*").alias("size"), *counts))
+    pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"__{i}").alias("tf")) for i, t in enumerate(asked)])
+    return kept.select(key, F.inline(pairs)).where("tf > 0"), kept.select(key, "size")
+
+
+def _asked(terms: list[str]):
+    """The first of the terms that a term begins with."""
+    return F.coalesce(*[F.when(F.col("term").startswith(t), F.lit(t)) for t in terms])
+
+
 def sizes(index: DataFrame, key: str) -> DataFrame:
     """(key, size): how many terms each document has."""
     return index.groupBy(key).agg(F.sum("tf").alias("size"))
@@ -57,7 +76,7 @@ def ranked(index: DataFrame, key: str, query: str, k1: float = 1.2, b: float = 0
     and only its rows of the terms asked for are read."""
     terms = sorted(set(re.findall(r"[^\W_]+", query.lower())))
     stats = (index.select(key, "size").distinct() if size is None else size).agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    wanted = F.coalesce(*[F.when(F.col("term").startswith(t), F.lit(t)) for t in terms])
+    wanted = _asked(terms)
     own = index.where(reduce(lambda x, y: x | y, [F.col("term").startswith(t) for t in terms], F.lit(False)))
     if size is not None:
         own = own.join(size, key)
@@ -131,5 +150,6 @@ def by_edges(external: DataFrame) -> DataFrame:
 
 def related_documents(docs: DataFrame, key: str, columns: list[str], query: str, top: int = 3, snippet: str = "content") -> DataFrame:
     """The best documents for a query with the first 200 characters of each."""
-    best = ranked(postings(docs, key, columns), key, query).orderBy(F.desc("score"), key).limit(top)
+    index, size = asked_counts(docs, key, columns, query)
+    best = ranked(index, key, query, size=size).orderBy(F.desc("score"), key).limit(top)
     return docs.join(F.broadcast(best), key).select(key, "score", F.substring(F.col(snippet), 1, 200).alias("snippet"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.identity import enclosing_method
+from graphloom.operators.sieve import semi
 from graphloom.schema import BODY_KINDS, DATA_FLOW
 from graphloom.storage import cut
 
@@ -28,9 +29,10 @@ def _calls(edges: DataFrame) -> DataFrame:
     return edges.where("relation = 'CALLS'").select(*ROW)
 
 
-def _overrides(edges: DataFrame) -> DataFrame:
+def _overrides(edges: DataFrame, once: bool = True) -> DataFrame:
     """(iface, impl)."""
-    return edges.where("relation = 'OVERRIDES' and not is_external").select(F.col("target_id").alias("iface"), F.col("source_id").alias("impl")).distinct()
+    pairs = edges.where("relation = 'OVERRIDES' and not is_external").select(F.col("target_id").alias("iface"), F.col("source_id").alias("impl"))
+    return pairs.distinct() if once else pairs
 
 
 def _bridge(pairs: DataFrame) -> DataFrame:
@@ -80,13 +82,19 @@ def callees(edges: DataFrame, seeds: DataFrame, depth: int = 1, bodies: DataFram
     but not followed, external targets neither. For each node reached or expanded, the edges to the
     methods that override it are given as OVERRIDES, and followed."""
     rows, _ = _callees(edges, seeds, depth, bodies)
-    return rows
+    return _once(rows)
+
+
+def called(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
+    """(source_id, relation, target) of the callees, each once; external targets by their names."""
+    rows, _ = _callees(edges, seeds, depth, None)
+    return rows.select("source_id", "relation", F.coalesce("target_id", "external_target_fqn").alias("target")).distinct()
 
 
 def callees_frontier(edges: DataFrame, seeds: DataFrame, depth: int = 1, bodies: DataFrame | None = None) -> DataFrame:
     """(frontier_count): owners that have edges beyond the depth."""
     _, last = _callees(edges, seeds, depth, bodies)
-    calls = _calls(edges)
+    calls, last = _calls(edges), cut(last)
     more = calls.join(last.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
     able = last.unionByName(more.where("target_id is not null").select(F.col("target_id").alias("id"))).distinct()
     owners = more.select(F.col("source_id").alias("id")).unionByName(_overrides(edges).select(F.col("iface").alias("id")).join(able, "id", "left_semi"))
@@ -94,23 +102,26 @@ def callees_frontier(edges: DataFrame, seeds: DataFrame, depth: int = 1, bodies:
 
 
 def _callees(edges: DataFrame, seeds: DataFrame, depth: int, bodies: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    calls, over = _calls(edges), _overrides(edges)
+    """Rows of all levels, and the ids that the next one would start from."""
+    calls, over = _calls(edges), _overrides(edges, once=False)
     calls = with_callbacks(calls, bodies) if bodies is not None else calls
     frontier = cut(seeds.select("id").distinct())
-    visited, out = [frontier], []
-    for d in range(1, depth_of(depth) + 1):
-        level = calls.join(frontier.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
-        met = level.where("target_id is not null").select(F.col("target_id").alias("id"))
-        pairs = over.join(frontier.unionByName(met).distinct().withColumnRenamed("id", "iface"), "iface", "left_semi")
-        bridge = _bridge(pairs)
+    visited, out, last = [frontier], [], depth_of(depth)
+    for d in range(1, last + 1):
+        level = cut(semi(calls, "source_id", frontier).withColumn("depth", F.lit(d)))
+        near = cut(frontier.unionByName(level.select(F.col("target_id").alias("id"))).where("id is not null").distinct())
+        bridge = _bridge(semi(over, "iface", near).distinct())
         bridge = bridge.withColumn("via", F.lit(None).cast("string")) if bodies is not None else bridge
-        both = cut(level.unionByName(bridge).withColumn("depth", F.lit(d)))
-        out.append(both)
-        frontier = cut(both.where("target_id is not null").select(F.col("target_id").alias("id")).distinct().join(_union(visited), "id", "left_anti"))
+        bridge = cut(bridge.withColumn("depth", F.lit(d)))
+        out += [level, bridge]
+        frontier = near.unionByName(bridge.select(F.col("target_id").alias("id"))).distinct().join(_union(visited), "id", "left_anti")
+        if d == last:
+            break
+        frontier = cut(frontier)
         if frontier.isEmpty():
             break
         visited.append(frontier)
-    return _once(_union(out)), frontier
+    return _union(out), frontier
 
 
 def callers(edges: DataFrame, seeds: DataFrame, depth: int = 1, callbacks: bool = False) -> DataFrame:

@@ -155,7 +155,7 @@ def endpoint_gates(s, d):
 @query(None)
 def enrich_segment(s, d):
     """All that is known of the customers of one nation, with three documents."""
-    n, e = X.nodes(s, d), X.edges(s, d)
+    n, e = X.nodes(s, d), X.edges(s, d, "CALLS", "CONTAINS", "OVERRIDES", "INJECTS")
     best = S.related_documents(load(s, d, "documents"), "doc_id", ["text"], "thing under", 3, "text").select(F.col("doc_id").alias("id"), "snippet")
     said = B.doc_annotations(n).select("node_id", "business_description")
     return E.enriched(_segment(n), n, e, X.annotations(s, d), said, best)
